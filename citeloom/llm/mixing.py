@@ -6,14 +6,13 @@ probability. The flight moves the probabilities of three documents at a time alo
 null-space of their two constraints (documents, words) until one of them is 0 or 1, so both
 totals of a source stay as they were. It runs in blocks of bounded size; each block leaves at
 most two documents undecided, those meet in further rounds, and the last few of each source
-land on the choice that is nearest to the words still owed.
+land, together with a few small ones kept out of the flight, on the choice that is nearest to
+the words still owed.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,6 +26,8 @@ from citeloom.llm.common import BLANK, Staged, plain_text
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A flight takes at most about this many documents of one source.
 BLOCK = 1024
+#: The last round lands on the best choice among so many small documents and the two that the flight leaves.
+LANDING = 11
 #: Sources up to this number are broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 20_000
 
@@ -77,20 +78,28 @@ def fly(p: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def land(p: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The 0/1 choice for the few units left whose words are nearest to sum(p * x)."""
-    open_ = [i for i in range(len(p)) if 1e-9 < p[i] < 1 - 1e-9]
-    owed, out = float((p * x)[open_].sum()), p.copy()
-    pick = min(itertools.product((0.0, 1.0), repeat=len(open_)), key=lambda c: (abs(sum(a * x[i] for a, i in zip(c, open_, strict=True)) - owed), c))
-    for a, i in zip(pick, open_, strict=True):
-        out[i] = a
+    """The 0/1 choice for the few units left whose words are nearest to sum(p * x), then whose number is nearest to sum(p)."""
+    open_ = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
+    if not len(open_):
+        return p
+    choices = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1).astype(float)
+    words = np.abs(choices @ x[open_] - (p * x)[open_].sum())
+    units = np.abs(choices.sum(1) - p[open_].sum())
+    out = p.copy()
+    out[open_] = choices[np.lexsort((units, words + units * 0.5))[0]]
     return out
 
 
 def _flight(last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["turn", "doc_id", "size"], kind="stable").reset_index(drop=True)
-        p = fly(pdf["p"].to_numpy(float), pdf["size"].to_numpy(float))
-        pdf["p"] = land(p, pdf["size"].to_numpy(float)) if last else p
+        # large documents fly first, so that those left undecided are mostly small
+        pdf = pdf.sort_values(["size", "turn", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        p, x = pdf["p"].to_numpy(float), pdf["size"].to_numpy(float)
+        # in the last round the smallest few stay out of the flight: they are what the landing can choose from
+        aside = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9) & (x > 0))[-LANDING:] if last else np.empty(0, int)
+        flies = np.setdiff1d(np.arange(len(p)), aside)
+        p[flies] = fly(p[flies], x[flies])
+        pdf["p"] = land(p, x) if last else p
         return pdf
 
     return run
