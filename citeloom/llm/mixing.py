@@ -6,7 +6,7 @@ probability. The flight moves the probabilities of three documents at a time alo
 null-space of their two constraints (documents, words) until one of them is 0 or 1, so both
 totals of a source stay as they were. It runs in blocks of bounded size; each block leaves at
 most two documents undecided, those meet in further rounds, and the last few of each source
-land, together with a few small ones kept out of the flight, on the choice that is nearest to
+land, together with a few of all sizes kept out of the flight, on the choice that is nearest to
 the words still owed.
 """
 
@@ -26,7 +26,7 @@ from citeloom.llm.common import BLANK, Staged, plain_text
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A flight takes at most about this many documents of one source.
 BLOCK = 1024
-#: The last round lands on the best choice among so many small documents and the two that the flight leaves.
+#: The last round lands on the best choice among so many documents and the two that the flight leaves.
 LANDING = 11
 #: Sources up to this number are broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 20_000
@@ -95,8 +95,9 @@ def _flight(last: bool):
         # large documents fly first, so that those left undecided are mostly small
         pdf = pdf.sort_values(["size", "turn", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         p, x = pdf["p"].to_numpy(float), pdf["size"].to_numpy(float)
-        # in the last round the smallest few stay out of the flight: they are what the landing can choose from
-        aside = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9) & (x > 0))[-LANDING:] if last else np.empty(0, int)
+        # in the last round a few of all sizes stay out of the flight: they are what the landing can choose from
+        open_ = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9) & (x > 0))
+        aside = np.unique(open_[np.linspace(0, len(open_) - 1, LANDING).astype(int)]) if last and len(open_) else np.empty(0, int)
         flies = np.setdiff1d(np.arange(len(p)), aside)
         p[flies] = fly(p[flies], x[flies])
         pdf["p"] = land(p, x) if last else p
