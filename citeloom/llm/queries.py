@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import exact_dedup, fingerprint, mixing, near_dedup, packing, quality, toxicity
+from citeloom.llm import exact_dedup, fingerprint, mixing, near_dedup, packing, pii, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_sort(_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -45,5 +49,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_exact_dedup, op4_mixing, op5_minhash, op6_fingerprint, op7_packing, op8_quality, op9_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op4_mixing, op5_minhash, op6_fingerprint, op7_packing, op8_quality, op9_toxicity)}
 SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE}
