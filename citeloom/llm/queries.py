@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import exact_dedup, fingerprint, mixing, near_dedup, packing, pii, quality, toxicity
+from citeloom.llm import exact_dedup, fingerprint, htmltext, mixing, near_dedup, packing, pii, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,5 +49,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op4_mixing, op5_minhash, op6_fingerprint, op7_packing, op8_quality, op9_toxicity)}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op4_mixing, op5_minhash, op6_fingerprint, op7_packing, op8_quality, op9_toxicity, op10_html)}
 SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE}
