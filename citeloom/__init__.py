@@ -1 +1,25 @@
 """Citation analytics on Spark: mining, linking, tables, graph measures and evaluation."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="citeloom-")) / "citeloom.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent).as_posix())
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(app)
