@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeloom.llm import exact_dedup, fingerprint, htmltext, mixing, near_dedup, packing, pii, quality, toxicity
+from citeloom import ship
+from citeloom.llm import exact_dedup, fingerprint, htmltext, mixing, near_dedup, packing, pii, quality, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -21,6 +23,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_sort(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -53,5 +59,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op4_mixing, op5_minhash, op6_fingerprint, op7_packing, op8_quality, op9_toxicity, op10_html)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_passages, op4_mixing, op5_minhash, op6_fingerprint, op7_packing, op8_quality, op9_toxicity, op10_html)}
 SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE}
