@@ -192,3 +192,14 @@ def score(docs: DataFrame, model: QualityModel, folds: int = 5, held: int = 0, t
     rows = docs.select(doc_id.alias("doc_id"), held_out.alias("held_out"), plain_text(F.col("text")).alias("body"))
     out = rows.mapInArrow(scorer(model), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the classifier does not reject."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = model.score([t or "" for t in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
