@@ -12,7 +12,7 @@ def _load() -> None:
         import_module(f"citeloom.plans.{name}")
 
 
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("texts",)
 
 
 def queries() -> dict:
