@@ -12,7 +12,7 @@ def _load() -> None:
         import_module(f"citeloom.plans.{name}")
 
 
-MODULES: tuple[str, ...] = ("texts", "laws", "links", "relations")
+MODULES: tuple[str, ...] = ("texts", "laws", "links", "relations", "tables", "reviews")
 
 
 def queries() -> dict:
