@@ -47,7 +47,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = ["head", "fold", "salt"]
     dealt = salted.repartitionByRange(n_parts, *key).select("doc_id", ascii_lower(F.col("body")).alias("norm"), *key)
 
-    along = W.partitionBy(*key).orderBy("norm", F.col("doc_id") if keep == "largest" else F.col("doc_id").desc())
+    along = W.partitionBy(*key).orderBy("norm", F.col("doc_id") if keep == "largest" else F.col("doc_id").desc_nulls_first())
     starts = F.when(F.col("norm") == F.lag("norm").over(along), 0).otherwise(1)
     ends = F.coalesce(F.col("norm") != F.lead("norm").over(along), F.lit(True))
     runs = dealt.withColumn("starts", starts).withColumn("last", ends).withColumn("run", F.sum("starts").over(along))
