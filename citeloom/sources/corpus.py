@@ -42,9 +42,9 @@ def read_occurrences(spark: SparkSession, path: str) -> DataFrame:
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """(law_id, name) of the legal acts of a registry file; the last entry of a law counts."""
-    items = "položky array<struct<typ:string,`akt-citace`:string,citace:string,`akt-název-vyhlášený`:string,název:string>>"
-    raw = spark.read.schema(items).option("multiLine", "true").json(path).select(F.posexplode("položky").alias("at", "p"))
-    rows = raw.select("at", F.coalesce(F.col("p.citace"), F.col("p.`akt-citace`")).alias("law_id"), F.coalesce(F.col("p.název"), F.col("p.`akt-název-vyhlášený`")).alias("name"), F.col("p.typ").alias("typ"))
+    items = "`položky` array<struct<typ:string,`akt-citace`:string,`akt-název-vyhlášený`:string>>"
+    raw = spark.read.schema(items).option("multiLine", "true").json(path).select(F.posexplode("`položky`").alias("at", "p"))
+    rows = raw.select("at", F.col("p.`akt-citace`").alias("law_id"), F.col("p.`akt-název-vyhlášený`").alias("name"), F.col("p.typ").alias("typ"))
     return rows.filter("typ = 'právní-akt' and law_id is not null and name is not null").groupBy("law_id").agg(F.max_by("name", "at").alias("name"))
 
 
