@@ -3,13 +3,16 @@
 1. Every text becomes a set of word shingles; texts with equal sets form one class, and classes
    are compared through one representative, the smallest identifier.
 2. Signatures of a class are cut into bands; classes with an equal band meet in a bucket. Each
-   bucket links its members to its smallest one, so a bucket gives as many pairs as rows.
+   bucket pairs its members with its hub, the one that meets most others in all its buckets, so
+   a bucket gives as many pairs as rows.
 3. Pairs are verified in batches of hashes: the posterior of the similarity under a uniform
    prior after m of n agreements is Beta(m + 1, n - m + 1), and a pair is dropped as soon as
    the similarity is above the bound with less than the chosen miss probability.
 4. Survivors are compared on their full sets.
-5. Buckets whose members are still in several components compare those members with each other,
-   in blocks, through the same two checks; nothing is capped.
+5. Where the members of a bucket are still in several components, those outside its largest one
+   are compared with all by signature, and the ones with a likely partner in another component
+   again on their full sets. Both go in pairs of blocks of bounded size and return members and
+   joining links, not pairs; nothing is capped.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-6
-#: Members of a bucket that are compared in one group, at most twice as many.
-BLOCK = 512
+#: Members of a bucket in a block, two of which are compared in one group: by signature, by full set.
+BLOCK, FULL_BLOCK = 4096, 128
 #: Up to so many identifiers are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 300_000
 
@@ -149,34 +152,89 @@ def _linked(percent: int):
     return run
 
 
-def _block_pairs(bound: float):
-    """Likely pairs between the members of two blocks of a bucket that are in different components."""
-    n_all, least = least_matches(bound)[-1]
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of two lists of sets, from products of their incidence matrices, some thousand elements at a time."""
+    sides = []
+    for sets in (left, right):
+        sides.append((np.concatenate([*sets, np.empty(0, np.uint64)]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    shared = np.intersect1d(sides[0][0], sides[1][0])
+    out = np.zeros((len(left), len(right)), np.float32)
+    places = []
+    for values, owner in sides:
+        at = np.minimum(np.searchsorted(shared, values), max(0, len(shared) - 1))
+        hit = shared[at] == values if len(shared) else np.zeros(len(values), bool)
+        order = np.argsort(at[hit], kind="stable")
+        places.append((at[hit][order], owner[hit][order]))
+    for lo in range(0, len(shared), 4096):
+        x, y = (np.zeros((len(sets), 4096), np.float32) for sets in (left, right))
+        for m, (at, owner) in zip((x, y), places, strict=True):
+            a, b = np.searchsorted(at, [lo, lo + 4096])
+            m[owner[a:b], at[a:b] - lo] = 1
+        out += x @ y.T
+    return out
+
+
+def _block_links(percent: int):
+    """Links between members of two blocks of a bucket, as many as join their components."""
 
     def group(rows: list[tuple]) -> list[tuple[int, int]]:
-        i, j = rows[0][1], rows[0][2]
-        left = [r for r in rows if r[3] == i]
-        right = left if i == j else [r for r in rows if r[3] == j]
-        if not left or not right:
+        left, right = ([r for r in rows if r[3] == side] for side in (0, 1))
+        if not left or not right or len({r[5] for r in rows}) < 2:
             return []
-        x, y = (np.frombuffer(b"".join(r[6] for r in side), np.uint16).reshape(-1, HASHES) for side in (left, right))
+        x, y = ([np.frombuffer(r[6], np.uint64) for r in side] for side in (left, right))
+        common = common_counts(x, y)
+        union = np.array(list(map(len, x)))[:, None] + np.array(list(map(len, y)))[None, :] - common
         cx, cy = (np.array([r[5] for r in side]) for side in (left, right))
+        parent: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                c = up
+            return c
+
         out = []
-        for k in range(len(x)):
-            hits = np.flatnonzero((cy != cx[k]) & ((x[k] == y).sum(1) >= least))
-            out += [(left[k][4], right[h][4]) for h in hits if i != j or h > k]
-        return [(min(p), max(p)) for p in out]
+        for a, b in np.argwhere((100 * common >= percent * union) & (cx[:, None] != cy[None, :])).tolist():
+            u, v = top(left[a][5]), top(right[b][5])
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                out.append((min(left[a][4], right[b][4]), max(left[a][4], right[b][4])))
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+    return _by_group(group, ("members",), ("a", "b"))
+
+
+def _open_members(bound: float):
+    """Members (bucket, rep, c) with a likely partner in another component, in one pair of blocks."""
+    _, least = least_matches(bound)[-1]
 
-        def made(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            pairs = list(dict.fromkeys(pairs))
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    def group(rows: list[tuple]) -> list[tuple[int, int, int]]:
+        sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(-1, HASHES)
+        c, side = np.array([r[5] for r in rows]), np.array([r[3] for r in rows])
+        right = np.flatnonzero(side == 1)
+        others, names = sig[right], c[right]
+        found = np.zeros(len(rows), bool)
+        for k in np.flatnonzero(side == 0):
+            hits = (names != c[k]) & ((others == sig[k]).sum(1) >= least)
+            if hits.any():
+                found[right[hits]] = True
+                found[k] = True
+        return [(rows[k][0], rows[k][4], rows[k][5]) for k in np.flatnonzero(found)]
 
+    return _by_group(group, ("sig",), ("bucket", "rep", "c"))
+
+
+def _by_group(group, payload: tuple[str, ...], out_names: tuple[str, ...]):
+    """mapInArrow function over rows ordered by (bucket, i, j): ``group`` of each run of rows."""
+    columns = ("bucket", "i", "j", "side", "rep", "c", *payload)
+
+    def made(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(len(out_names))], names=list(out_names))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
         for batch in batches:
             out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "block", "rep", "c", "sig")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 if held and held[0][:3] != row[:3]:
                     out += group(held)
                     held = []
@@ -207,34 +265,60 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substr(F.col("sig"), k * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     members = classes.filter("rep is not null").select("rep", F.explode(bands).alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("n"), F.max("rep").alias("top")).filter("pivot < top")
-    met = stage.write(members.join(buckets, "bucket").select("bucket", "rep", "pivot", "n"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-        return confirmed(stage.write(both.select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(bound), "a long, b long")))
-
-    def confirmed(likely: DataFrame) -> DataFrame:
-        asked = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).distinct()
+    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
+    met = stage.write(members.join(buckets, "bucket").select("bucket", "rep", "n"))
+    meets = met.groupBy("rep").agg(F.sum("n").alias("meets"))
+    hubs = met.join(meets, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("hub"))
+    star = met.join(hubs, "bucket").filter("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+
+    def sets_of(asked: DataFrame) -> DataFrame:
+        """(rep, members): the full sets of some classes, from the texts of their representatives."""
         few = asked.count() <= BROADCAST_IDS
         texts = rows.select(F.col("doc_id").alias("rep"), "body").join(F.broadcast(asked) if few else asked, "rep", "left_semi")
-        full = stage.write(texts.mapInArrow(_set_bytes(width), "rep long, members binary"))
-        both = likely.join(full.select(F.col("rep").alias("a"), F.col("members").alias("set_a")), "a").join(full.select(F.col("rep").alias("b"), F.col("members").alias("set_b")), "b")
-        links = stage.write(both.select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long").distinct())
-        stage.drop(full)
-        return links
-
-    star = met.filter("rep > pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = verified(star)
+        return stage.write(texts.mapInArrow(_set_bytes(width), "rep long, members binary"))
+
+    both = star.join(reps.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(reps.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
+    likely = stage.write(both.select("a", "b", "sig_a", "sig_b").mapInArrow(_likely(bound), "a long, b long"))
+    full = sets_of(likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).distinct())
+    both = likely.join(full.select(F.col("rep").alias("a"), F.col("members").alias("set_a")), "a").join(full.select(F.col("rep").alias("b"), F.col("members").alias("set_b")), "b")
+    links = stage.write(both.select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long").distinct())
+    stage.drop(full)
     labels = components(links, stage)
 
     open_ = met.filter("n > 2").join(labels.withColumnRenamed("v", "rep"), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    mixed = open_.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m")).filter("c0 < c1")
-    spread = open_.join(mixed, "bucket").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "c")
-    spread = spread.join(reps, "rep").repartition(n_parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "block", "rep")
-    likely = stage.write(spread.select("bucket", "i", "j", "block", "rep", "c", "sig").mapInArrow(_block_pairs(bound), "a long, b long").distinct())
-    more = confirmed(likely)
+
+    def weighed(rows: DataFrame) -> DataFrame:
+        """(bucket, rep, c, m, minor, few): of buckets in several components, members, their number, whether outside the largest component, and how many are."""
+        parts = rows.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("size"))
+        sizes = parts.groupBy("bucket").agg(F.sum("size").alias("m"), F.max("size").alias("most"), F.max_by("c", F.struct("size", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        return rows.join(sizes, "bucket").select("bucket", "rep", "c", "m", (F.col("c") != F.col("main")).alias("minor"), (F.col("m") - F.col("most")).alias("few"))
+
+    def in_blocks(rows: DataFrame, block: int) -> DataFrame:
+        """Members outside the largest component (side 0) with every block of all members (side 1), cut into blocks themselves."""
+        own = F.xxhash64("rep")
+        i_blocks, j_blocks = F.ceil(F.col("few") / block), F.ceil(F.col("m") / block)
+        i, j = F.pmod(own, i_blocks).cast("int"), F.pmod(own, j_blocks).cast("int")
+
+        def every(count):
+            return F.explode(F.sequence(F.lit(0), (count - 1).cast("int")))
+
+        zero, minor = F.lit(0), rows.filter("minor")
+        left = minor.filter(F.col("m") <= block).select("bucket", i.alias("i"), zero.alias("j"), zero.alias("side"), "rep", "c")
+        left = left.unionByName(minor.filter(F.col("m") > block).select("bucket", i.alias("i"), every(j_blocks).alias("j"), zero.alias("side"), "rep", "c"))
+        right = rows.filter(F.col("few") <= block).select("bucket", zero.alias("i"), j.alias("j"), F.lit(1).alias("side"), "rep", "c")
+        right = right.unionByName(rows.filter(F.col("few") > block).select("bucket", every(i_blocks).alias("i"), j.alias("j"), F.lit(1).alias("side"), "rep", "c"))
+        return left.unionByName(right)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n_parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side", "rep")
+
+    rest = stage.write(weighed(open_.select("bucket", "rep", "c")))
+    near = dealt(in_blocks(rest, BLOCK).join(reps, "rep")).select("bucket", "i", "j", "side", "rep", "c", "sig").mapInArrow(_open_members(bound), "bucket long, rep long, c long")
+    near = stage.write(near.distinct())
+    full = sets_of(near.select("rep").distinct())
+    pairs = dealt(in_blocks(weighed(near), FULL_BLOCK).join(full, "rep"))
+    more = stage.write(pairs.select("bucket", "i", "j", "side", "rep", "c", "members").mapInArrow(_block_links(percent), "a long, b long").distinct())
+    stage.drop(full)
     if more.take(1):
         labels = components(links.unionByName(more), stage)
 
