@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import partitions
-from citeloom.llm.order import RANGES_PER_PARTITION, cut_points, range_of
+from citeloom.llm.order import cut_points, range_of
 
 BUCKETS = 256
 #: The triplets of a window, by their places in it.
@@ -105,7 +105,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("rank", F.coalesce("doc_id", F.lit(-(1 << 63))))
     ranks = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("rank"))
     low = ranks.agg(F.min("rank")).first()[0]
-    points = cut_points(ranks, "rank", RANGES_PER_PARTITION * n_parts - 1) if low is not None else []
+    points = cut_points(ranks, "rank", n_parts) if low is not None else []
     at = range_of(F.col("rank"), points)
     firsts = F.array(*[F.lit(x).cast("long") for x in [low or 0, *points]])
     own = F.struct(F.col("at"), F.lit(False).alias("halo"))

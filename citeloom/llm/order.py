@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RANGES_PER_PARTITION = 8
+#: Ranges at most; the list of cut points is part of the plan.
+MOST_RANGES = 20_000
+#: Keys sampled for each cut point.
+SAMPLED = 20
 
 
-def cut_points(df: DataFrame, key: str, count: int) -> list[int]:
-    """Up to ``count`` ascending values of ``key``, each present in ``df``, none the smallest one.
+def cut_points(df: DataFrame, key: str, partitions: int) -> list[int]:
+    """Ascending values of ``key``, each present in ``df``, none the smallest one; each starts a range.
 
-    They come from a quantile sketch of bounded size; every value starts a range.
+    They cut the rows into about RANGES_PER_PARTITION ranges a partition of like size. The keys
+    are sampled by a hash of themselves, SAMPLED for each cut point, so what reaches the driver
+    is bounded; a key that is sampled counts with all its rows. Balance depends on the sample,
+    results do not.
     """
-    if count < 1:
+    count = min(RANGES_PER_PARTITION * partitions, MOST_RANGES) - 1
+    found = df.agg(F.count(key).alias("n"), F.min(key).alias("low")).first()
+    if count < 1 or not found["n"]:
         return []
-    steps = F.array(*[F.lit((i + 1) / (count + 1)) for i in range(count)])
-    found = df.agg(F.percentile_approx(key, steps, F.lit(max(10_000, 20 * count))).alias("q"), F.min(key).alias("low")).first()
-    return sorted({int(x) for x in found["q"] or [] if x > found["low"]})
+    rate = max(1, found["n"] // (SAMPLED * (count + 1)))
+    sampled = df.select(F.col(key).cast("long").alias("k")).filter(F.pmod(F.xxhash64("k", F.lit(17)), F.lit(rate)) == 0)
+    rows = sorted((r["k"], r["n"]) for r in sampled.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect() if r["k"] is not None)
+    if not rows:
+        return []
+    keys, weights = zip(*rows, strict=True)
+    before = np.concatenate([[0], np.cumsum(weights)[:-1]])
+    places = np.searchsorted(before, np.arange(1, count + 1) * (sum(weights) / (count + 1)))
+    return sorted({keys[p] for p in places if p < len(keys) and keys[p] > found["low"]})
 
 
 def range_of(key: Column, points: list[int]) -> Column:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import Staged, partitions, plain_text
-from citeloom.llm.order import RANGES_PER_PARTITION, cut_points, range_of
+from citeloom.llm.order import cut_points, range_of
 
 SEQUENCE = 1024
 END_ID = 0
@@ -142,7 +142,7 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str | None = None, size: int =
     stage = Staged(spark, "pack")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text(F.col("text")).alias("body"), F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << SPREAD_BITS)).alias("spread"))
     tokens = stage.write(rows.mapInArrow(_tokenise(vocabulary, ranks, end_id), "doc_id long, order_key long, n long, ids binary"))
-    points = cut_points(tokens, "order_key", RANGES_PER_PARTITION * n_parts - 1)
+    points = cut_points(tokens, "order_key", n_parts)
     placed = tokens.withColumn("at", range_of(F.col("order_key"), points))
     held = {r["at"]: r["n"] for r in placed.groupBy("at").agg(F.sum("n").alias("n")).collect()}
     starts = np.cumsum([0, *(held.get(k, 0) for k in range(len(points)))]).tolist()
