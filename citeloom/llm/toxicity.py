@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.quality import labelled, scorer
+from citeloom.llm.quality import FIT_TASKS, labelled, scorer
 
 BUCKETS = 1 << 15
 #: Words that a worker remembers.
@@ -232,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, limit
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array([encode(x).astype(np.uint16).tobytes() for x in batch.column("body").to_pylist()], pa.binary())], names=["doc_id", "toxic", "codes"])
 
-    got = sorted((r["doc_id"], r["toxic"], bytes(r["codes"])) for r in rows.select("doc_id", "toxic", "body").mapInArrow(codes, "doc_id long, toxic int, codes binary").toLocalIterator())
+    got = sorted((r["doc_id"], r["toxic"], bytes(r["codes"])) for r in rows.select("doc_id", "toxic", "body").repartition(FIT_TASKS).mapInArrow(codes, "doc_id long, toxic int, codes binary").collect())
     y = np.array([r[1] for r in got], float)
     docs_codes = [np.frombuffer(r[2], np.uint16).astype(np.int32).reshape(-1, 2) for r in got]
     if not len(y) or y.min() == y.max():
