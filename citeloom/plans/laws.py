@@ -167,10 +167,10 @@ def inflection_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT law_id, alias FROM (SELECT concat(p_partkey, '/2000 Sb.') AS law_id, unnest([p_name, p_brand]) AS alias, p_partkey FROM part) QUALIFY count(*) OVER (PARTITION BY alias) <= 4
+SELECT law_id, alias FROM (SELECT concat(p_partkey, '/2000 Sb.') AS law_id, unnest([p_name || ' ' || p_partkey // 3, p_brand]) AS alias, p_partkey FROM part) QUALIFY count(*) OVER (PARTITION BY alias) <= 4
 """)
 def title_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit("/2000 Sb.")).alias("law_id"), F.explode(F.array(F.concat("p_name", F.lit(" ("), F.col("p_brand"), F.lit(")")))).alias("title"))
+    titles = table(spark, sf_dir, "part").select(F.concat(F.col("p_partkey").cast("string"), F.lit("/2000 Sb.")).alias("law_id"), F.explode(F.array(F.concat("p_name", F.lit(" "), F.floor(F.col("p_partkey") / 3).cast("string"), F.lit(" ("), F.col("p_brand"), F.lit(")")))).alias("title"))
     return A.harvest_titles(titles)
 
 
