@@ -1,21 +1,24 @@
-"""Repeated passages by column-wise construction of collection BWTs over minimizer fragments.
+"""Repeated passages by column-wise construction over the strings of minimizer fragments.
 
 A passage of ``LENGTH`` bytes is judged by all strings of that length. Every such string has a
 minimizer, the smallest hash of its ``K``-byte substrings; equal strings have equal minimizers.
 So each document is cut into fragments, runs of strings with one minimizer, and fragments are
 dealt to tasks by it: what can be equal meets, and each task holds a collection of short texts.
 
-1. Minimizers that occur in one document only are found and left out. Tasks send each of theirs
+1. Copies of a whole text keep their first document only; the others are removed as they are.
+2. Minimizers that occur in one document only are found and left out. Tasks send each of theirs
    once, so a minimizer of all documents costs one entry a task.
-2. Equal fragments become one, with the smallest identifier they occur in.
-3. Minimizers with several different fragments get a collection BWT built column by column:
-   round j inserts the suffix of length j of every fragment at the place that ranks in the BWT
-   so far give, and from ``LENGTH`` on updates which neighbours share a prefix that long (the
-   common-prefix column). The columns are read and written in sequence, one file each. Runs of
-   neighbours that share the prefix are the equal strings, and take the smallest identifier.
-4. Minimizers with very many different fragments would make one task grow; the strings of those
+3. Equal fragments become one, with the smallest identifier they occur in: first in each batch,
+   so a fragment of all documents travels once a batch, then in the task of their minimizer.
+4. Minimizers with several different fragments get a collection whose texts are the strings of
+   those fragments. It is built column by column, from the right: round j inserts one symbol of
+   every text and so orders its suffixes of length j by the BWT column of round j - 1, and
+   updates the common-prefix column, which marks neighbours that are equal so far. The columns
+   are read and written in sequence, one file each. After the last round, runs of equal
+   neighbours are the equal strings, and take the smallest identifier.
+5. Minimizers with very many different fragments would make one task grow; the strings of those
    are compared one by one through an ordinary grouped aggregation.
-5. Each occurrence of a fragment learns which of its strings start in a smaller document, and
+6. Each occurrence of a fragment learns which of its strings start in a smaller document, and
    each document removes the bytes that those strings cover.
 """
 
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +40,10 @@ from citeloom.llm.common import Staged, partitions, plain_text
 LENGTH, K = 50, 20
 #: Strings of one fragment; longer runs (periodic texts) are cut, which changes no result.
 WINDOWS = 32
-#: Fragments of one collection, and of one minimizer before its strings are compared one by one.
-COLLECTION, CROWD = 16_384, 4_096
-BROADCAST_MINIMIZERS = 200_000
+#: Strings of one collection (more where one minimizer has more), and fragments of one minimizer before its strings are compared one by one.
+COLLECTION, CROWD = 250_000, 4_096
+#: Texts with copies up to this number are broadcast; more are joined by shuffle.
+BROADCAST_TEXTS = 1_000_000
 
 _T = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -89,16 +94,27 @@ def fragments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 PACKED = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("rows", pa.binary()), ("minimizers", pa.binary())])
+#: Minimizers travel as their low five bytes; one taken for another only brings a fragment that is compared in vain.
+LOW = np.uint64((1 << 40) - 1)
 
 
 def _packed(bucket: np.ndarray, rows: np.ndarray, minimizers: np.ndarray, known: bool) -> Iterator[tuple]:
+    """Entries by bucket, in order of their rows, which then compress well."""
     if not len(bucket):
         return
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((rows, bucket))
     bucket, rows, minimizers = bucket[order], rows[order], minimizers[order]
+    low = np.ascontiguousarray(minimizers.view(np.uint8).reshape(-1, 8)[:, :5])
     starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     for lo, hi in zip(starts, [*starts[1:], len(bucket)], strict=True):
-        yield int(bucket[lo]), known, rows[lo:hi].tobytes(), minimizers[lo:hi].tobytes()
+        yield int(bucket[lo]), known, rows[lo:hi].tobytes(), low[lo:hi].tobytes()
+
+
+def _unpacked(held: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.frombuffer(b"".join(x[0] for x in held), np.int64)
+    low = np.zeros((len(rows), 8), np.uint8)
+    low[:, :5] = np.frombuffer(b"".join(x[1] for x in held), np.uint8).reshape(-1, 5)
+    return rows, low.view(np.uint64).ravel()
 
 
 def _as_batch(found: list[tuple]) -> pa.RecordBatch:
@@ -131,7 +147,7 @@ def _settle(buckets: int):
     """Minimizers that several batches sent go back to the rows that have them, dealt by row."""
 
     def settled(held: list[tuple[bytes, bytes]]) -> list[tuple]:
-        rows, m = np.frombuffer(b"".join(x[0] for x in held), np.int64), np.frombuffer(b"".join(x[1] for x in held), np.uint64)
+        rows, m = _unpacked(held)
         order = np.argsort(m, kind="stable")
         rows, m = rows[order], m[order]
         same = m[1:] == m[:-1]
@@ -158,16 +174,16 @@ def _settle(buckets: int):
     return run
 
 
-CUT = pa.schema([("key", pa.binary()), ("minimizer", pa.int64()), ("fragment", pa.binary()), ("rank", pa.int64()), ("row", pa.int64()), ("first", pa.int32())])
+#: A fragment's name: hashes of its first and last string, which cover it, and its number of strings.
+NAME = ("ha", "hb", "n")
+CUT = pa.schema([("ha", pa.int64()), ("hb", pa.int64()), ("n", pa.int32()), ("minimizer", pa.int64()), ("fragment", pa.binary()), ("rank", pa.int64()), ("row", pa.int64()), ("first", pa.int32())])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fragments of each document whose minimizers other documents have; a bucket's known minimizers come before its documents."""
-    import xxhash
-
     at, held, rows, minimizers = None, [], None, None
     for batch in batches:
-        out: list[list] = [[] for _ in CUT]
+        out: list[tuple] = []
         for bucket, row, rank, body, known, m in zip(*(batch.column(c).to_pylist() for c in ("bucket", "row", "rank", "body", "rows", "minimizers")), strict=True):
             if bucket != at:
                 at, held, rows = bucket, [], None
@@ -175,20 +191,41 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append((known, m))
                 continue
             if rows is None:
-                rows, minimizers = np.frombuffer(b"".join(x[0] for x in held), np.int64), np.frombuffer(b"".join(x[1] for x in held), np.uint64)
+                rows, minimizers = _unpacked(held)
                 order = np.argsort(rows, kind="stable")
                 rows, minimizers = rows[order], minimizers[order]
-            lo, hi = np.searchsorted(rows, [row, row + 1]) if row < (1 << 62) else (0, 0)
+            lo, hi = np.searchsorted(rows, [row, row + 1])
             if lo == hi:
                 continue
             data = body.encode()
             own, first, count = fragments(data)
-            shared = np.flatnonzero(np.isin(own, minimizers[lo:hi]))
-            for m_, f, n in zip(own[shared].view(np.int64).tolist(), first[shared].tolist(), count[shared].tolist(), strict=True):
-                piece = data[f : f + n + LENGTH - 1]
-                for column, value in zip(out, (xxhash.xxh3_128_digest(piece), m_, piece, rank, row, f), strict=True):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, CUT, strict=True)], schema=CUT)
+            shared = np.isin(own & LOW, minimizers[lo:hi])
+            own, first, count = own[shared], first[shared], count[shared]
+            if not len(own):
+                continue
+            letters = np.frombuffer(data, np.uint8)
+            strings = np.lib.stride_tricks.sliding_window_view(letters, LENGTH)
+            size = count + LENGTH - 1
+            ends = np.cumsum(size)
+            picked = letters[np.arange(ends[-1]) + np.repeat(first - ends + size, size)]
+            out.append((_named(strings[first]), _named(strings[first + count - 1]), count, own.view(np.int64), size, picked, np.full(len(first), rank), np.full(len(first), row), first))
+        if not out:
+            continue
+        ha, hb, n, minimizer, size, picked, rank, row, first = (np.concatenate([x[i] for x in out]) for i in range(9))
+        order = np.lexsort((rank, n, hb, ha))
+        fresh = np.zeros(len(ha), bool)
+        fresh[order] = np.concatenate([[True], (np.diff(ha[order]) != 0) | (np.diff(hb[order]) != 0) | (np.diff(n[order]) != 0)])
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        pieces = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(picked.tobytes())])
+        pieces = pc.if_else(pa.array(fresh), pieces, pa.scalar(None, pa.binary()))  # once a batch, with its smallest identifier
+        yield pa.RecordBatch.from_arrays([pa.array(ha), pa.array(hb), pa.array(n.astype(np.int32)), pa.array(minimizer), pieces, pa.array(rank), pa.array(row), pa.array(first.astype(np.int32))], schema=CUT)
+
+
+_POWERS = np.random.default_rng(51).integers(0, 1 << 63, LENGTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _named(strings: np.ndarray) -> np.ndarray:
+    return _mix((_T[strings] * _POWERS).sum(1, dtype=np.uint64)).view(np.int64)
 
 
 class Column:
@@ -208,92 +245,98 @@ class Column:
         self.file.seek(0)
         return np.fromfile(self.file, self.dtype)
 
-    def insert(self, new: np.ndarray, values: np.ndarray) -> None:
-        """``new`` marks the places of ``values`` in the column after insertion."""
-        out = np.empty(len(new), self.dtype)
-        out[new] = values
-        out[~new] = self.read()
-        self.write(out)
-
-
-#: Marks the left end of a text in the BWT; no UTF-8 text has this byte.
-END = 0xFF
-
-
-def equal_strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, place and class of every string of ``LENGTH`` bytes in a collection; equal strings, and no others, share a class."""
-    count, longest = len(texts), max(map(len, texts))
-    lengths = np.fromiter(map(len, texts), np.int64, count)
-    # right-aligned, with a column in front that ends every text and room for whole words behind
-    table = np.frombuffer(b"".join(t.rjust(longest + 1, b"\xff") for t in texts), np.uint8).reshape(count, longest + 1)
-    flat = np.concatenate([table.ravel(), np.zeros(64, np.uint8)])
-    bwt = Column(table[:, -1].copy())
-    place = np.arange(count)
-    suffix = common = None
-    for j in range(1, longest + 1):
-        if j == LENGTH:  # from here on the suffixes count: their text and length, and the common-prefix column
-            n = count + int(np.minimum(lengths, j - 1).sum())
-            suffix, common = Column(np.full(n, -1, np.int64)), Column(np.zeros(n, np.uint8))
-        column = bwt.read()
-        going = np.flatnonzero(lengths >= j)
-        symbols = table[going, longest + 1 - j]
-        below = np.concatenate([[0], np.cumsum(np.bincount(column, minlength=256))])
-        at = np.empty(len(going), np.int64)
-        for c in np.unique(symbols):
-            mine = symbols == c
-            at[mine] = count + below[c] + np.searchsorted(np.flatnonzero(column == c), place[going[mine]])
-        order = np.argsort(at)
-        going, at = going[order], at[order]
-        place[going] = at
-        new = np.zeros(len(column) + len(at), bool)
-        new[at] = True
-        bwt.insert(new, table[going, longest - j])
-        if j >= LENGTH:
-            suffix.insert(new, going * 256 + j)
-            common.insert(new, np.zeros(len(at), np.uint8))
-            names, shared = suffix.read(), common.read()
-            right = np.unique(np.concatenate([at, at[at + 1 < len(names)] + 1]))  # the new ones, and those that follow one
-            shared[right] = 0
-            right = right[(names[right] >= 0) & (names[right - 1] >= 0) & (right > 0)]
-            a, b = ((names[right - d] >> 8) * (longest + 1) + longest + 1 - (names[right - d] & 255) for d in (0, 1))
-            for k in range(0, LENGTH, 10):  # most differ early
-                alike = (flat[a[:, None] + np.arange(k, k + 10)] == flat[b[:, None] + np.arange(k, k + 10)]).all(1)
-                right, a, b = right[alike], a[alike], b[alike]
-            shared[right] = 1
-            common.write(shared)
-    names, shared = suffix.read(), common.read()
-    kept = names >= 0
-    return names[kept] >> 8, lengths[names[kept] >> 8] - (names[kept] & 255), np.cumsum(shared[kept] == 0)
-
-
-def _smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, smallest): for each fragment, the smallest identifier of each of its strings; rows come ordered by minimizer."""
-    held: list[tuple] = []
-    group: list[tuple] = []
-
-    def made() -> pa.RecordBatch:
-        keys, pieces, least = [x[0] for x in held], [x[1] for x in held], np.array([x[2] for x in held], np.int64)
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(held)
-        if held:
-            text, first, kind = equal_strings(pieces)
-            low = np.full(kind.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(low, kind, least[text])
-            order = np.lexsort((first, text))
-            ends = np.cumsum([len(p) - LENGTH + 1 for p in pieces])
-            out = np.split(low[kind[order]], ends[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([x.tolist() for x in out], pa.list_(pa.int64()))], names=["key", "smallest"])
 
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("minimizer", "key", "fragment", "least")), strict=True):
-            if group and group[0][0] != row[0]:
-                held += [x[1:] for x in group]
-                group = []
-                if len(held) >= COLLECTION:
-                    yield made()
-                    held = []
-            group.append(row)
-    held += [x[1:] for x in group]
-    yield made()
+def equal_strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, class) of every string of ``LENGTH`` bytes of some texts, by text and place; equal strings, and no others, share a class."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) - LENGTH + 1
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    letters = np.frombuffer(b"".join(texts), np.uint8)
+    begin = np.repeat(np.cumsum(sizes + LENGTH - 1) - (sizes + LENGTH - 1) - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    count = len(owner)
+    order, bwt, common = Column(np.arange(count, dtype=np.int32)), Column(letters[begin + LENGTH - 1]), Column(np.ones(count, np.uint8))
+    for j in range(1, LENGTH + 1):
+        # the BWT column has, in the order of the suffixes of length j - 1, the symbol before each: sorted stably, it orders those of length j
+        symbols, names, alike = bwt.read(), order.read(), common.read()
+        turn = np.argsort(symbols, kind="stable")
+        names, symbols = names[turn], symbols[turn]
+        kind = np.cumsum(alike == 0, dtype=np.int32)[turn]
+        shared = np.empty(count, np.uint8)
+        shared[:1] = 0
+        shared[1:] = (kind[1:] == kind[:-1]) & (symbols[1:] == symbols[:-1])
+        order.write(names)
+        common.write(shared)
+        if j < LENGTH:
+            bwt.write(letters[begin[names] + LENGTH - 1 - j])
+    names, out = order.read(), np.empty(count, np.int64)
+    out[names] = np.cumsum(common.read() == 0)
+    return owner, out
+
+
+ANSWER = pa.schema([("ha", pa.int64()), ("hb", pa.int64()), ("n", pa.int32()), ("least", pa.int64()), ("smallest", pa.list_(pa.int64())), ("fragment", pa.binary())])
+
+
+def _smallest(crowd_size: int):
+    """For each fragment its smallest identifier and, where others share its minimizer, that of each of its strings.
+
+    Rows come ordered by minimizer, name and identifier. Fragments of crowded minimizers are
+    given back with their bytes instead.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []  # finished: name, least, smallest, fragment
+        held: list[tuple] = []  # for the collection: name, least, fragment
+        group: list[tuple] = []
+        strings = 0
+
+        def solve() -> None:
+            nonlocal held, strings
+            if held:
+                owner, kind = equal_strings([x[4] for x in held])
+                low = np.full(kind.max() + 1, np.iinfo(np.int64).max)
+                np.minimum.at(low, kind, np.array([x[3] for x in held], np.int64)[owner])
+                for x, own in zip(held, np.split(low[kind], np.cumsum([x[2] for x in held])[:-1]), strict=True):
+                    out.append((*x[:4], own.tolist(), None))
+            held, strings = [], 0
+
+        def close() -> None:
+            nonlocal group, strings
+            if len(group) == 1:
+                out.append((*group[0][:4], None, None))
+            else:
+                held.extend(group)
+                strings += sum(x[2] for x in group)
+            group = []
+            if strings >= COLLECTION:
+                solve()
+
+        def made() -> pa.RecordBatch:
+            nonlocal out
+            batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(ANSWER)], schema=ANSWER)
+            out = []
+            return batch
+
+        last, at, crowd = None, None, False
+        for batch in batches:
+            for m, a, b, n, rank, fragment in zip(*(batch.column(c).to_pylist() for c in ("minimizer", *NAME, "rank", "fragment")), strict=True):
+                if last == (m, a, b, n):
+                    continue  # the same fragment from another batch, with a larger identifier
+                last = (m, a, b, n)
+                if m != at:
+                    close() if group else None
+                    at, crowd = m, False
+                if crowd:
+                    out.append((a, b, n, rank, None, fragment))
+                    continue
+                group.append((a, b, n, rank, fragment))
+                if len(group) > crowd_size:
+                    out += [(*x[:4], None, x[4]) for x in group]
+                    group, crowd = [], True
+            yield made()
+        close() if group else None
+        solve()
+        yield made()
+
+    return run
 
 
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -314,8 +357,11 @@ def remaining(data: bytes, starts: np.ndarray) -> tuple[bytes, int, int]:
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for doc_id, body, hits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "body", "hits")), strict=True):
+        for doc_id, body, copy, hits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "body", "copy", "hits")), strict=True):
             data = body.encode()
+            if copy:  # every string of it starts in the first document with this text
+                out.append((doc_id, len(data), len(data), 1, hashlib.sha256(b"").hexdigest()))
+                continue
             starts = [h["first"] + k for h in hits or () for k in range(WINDOWS) if h["mask"] >> k & 1]
             kept, removed, runs = remaining(data, np.unique(np.array(starts, np.int64)))
             out.append((doc_id, len(data), removed, runs, hashlib.sha256(kept).hexdigest()))
@@ -335,12 +381,21 @@ def _fragments(rows: DataFrame, stage: Staged) -> DataFrame:
     known = sent.repartition(n_parts, "bucket", "known").sortWithinPartitions("bucket", "known").mapInArrow(_settle(n_parts), packed)
     none = F.lit(None)
     told = known.select("bucket", F.lit(-1).cast("long").alias("row"), none.cast("long").alias("rank"), none.cast("string").alias("body"), "rows", "minimizers")
-    docs = rows.filter(F.octet_length("body") >= LENGTH).select(F.pmod("row", F.lit(n_parts)).cast("int").alias("bucket"), "row", "rank", "body", none.cast("binary").alias("rows"), none.cast("binary").alias("minimizers"))
+    docs = rows.select(F.pmod("row", F.lit(n_parts)).cast("int").alias("bucket"), "row", "rank", "body", none.cast("binary").alias("rows"), none.cast("binary").alias("minimizers"))
     both = told.unionByName(docs).repartition(n_parts, "bucket").sortWithinPartitions("bucket", "row")
-    return stage.write(both.mapInArrow(_cut, "key binary, minimizer long, fragment binary, rank long, row long, first int"))
+    return stage.write(both.mapInArrow(_cut, "ha long, hb long, n int, minimizer long, fragment binary, rank long, row long, first int"))
+
+
+def _marked(rows: DataFrame, stage: Staged) -> DataFrame:
+    """Rows with ``copy``: whether a smaller document has the same text of ``LENGTH`` bytes or more."""
+    keyed = rows.withColumn("ka", F.xxhash64("body")).withColumn("kb", F.hash("body", F.octet_length("body")))
+    several = keyed.filter(F.octet_length("body") >= LENGTH).groupBy("ka", "kb").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).filter("least < most").select("ka", "kb", "least")
+    several = stage.write(several)
+    few = several.count() <= BROADCAST_TEXTS
+    return keyed.join(F.broadcast(several) if few else several, ["ka", "kb"], "left").withColumn("copy", F.coalesce(F.col("least") < F.col("rank"), F.lit(False))).drop("ka", "kb", "least")
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, crowd_size: int = CROWD) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte is removed where a string of 50 bytes that covers it also starts in a document with
@@ -353,30 +408,27 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     doc_id, body = F.col("doc_id").cast("long"), plain_text(F.col("text"))
     rows = docs.select(doc_id.alias("doc_id"), body.alias("body")).withColumn("rank", F.coalesce("doc_id", F.lit(-(1 << 63))))
     # names a row by its identifier and text, positive and below 2^62
-    rows = rows.withColumn("row", F.shiftrightunsigned(F.xxhash64("doc_id", "body"), 2) + 1).withColumn("row", F.least("row", F.lit((1 << 62) - 1)))
-    cut = _fragments(rows, stage)
+    rows = rows.withColumn("row", F.shiftrightunsigned(F.xxhash64("doc_id", "body"), 2)).withColumn("row", F.greatest("row", F.lit(1)))
+    rows = _marked(rows, stage)
+    cut = _fragments(rows.filter(~F.col("copy") & (F.octet_length("body") >= LENGTH)), stage)
     _release(spark)
 
-    distinct = stage.write(cut.groupBy("key").agg(F.min("rank").alias("least"), F.first("fragment").alias("fragment"), F.first("minimizer").alias("minimizer")))
-    groups = stage.write(distinct.groupBy("minimizer").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    crowded = groups.filter(F.col("n") > CROWD).select("minimizer")
-    ordinary = groups.filter(F.col("n") <= CROWD).select("minimizer")
-    few = crowded.count() <= BROADCAST_MINIMIZERS
-    met = distinct.join(ordinary, "minimizer", "left_semi").repartition(n_parts, "minimizer").sortWithinPartitions("minimizer", "key")
-    met = met.select("minimizer", "key", "fragment", "least").mapInArrow(_smallest, "key binary, smallest array<long>")
-
-    strings = distinct.join(F.broadcast(crowded) if few else crowded, "minimizer", "left_semi").select("key", "least", "fragment", F.explode(F.sequence(F.lit(0), F.octet_length("fragment") - LENGTH)).alias("k"))
-    strings = strings.select("key", "k", "least", F.substring("fragment", F.col("k") + 1, F.lit(LENGTH)).alias("string"))
-    low = strings.groupBy("string").agg(F.min("least").alias("low"))
-    alone = strings.join(low, "string").groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "low"))), lambda x: x["low"]).alias("smallest"))
-    answers = stage.write(met.unionByName(alone))
+    name = list(NAME)
+    dealt = cut.filter("fragment is not null").select("minimizer", *name, "rank", "fragment").repartition(n_parts, "minimizer").sortWithinPartitions("minimizer", *name, "rank")
+    every = stage.write(dealt.mapInArrow(_smallest(crowd_size), "ha long, hb long, n int, least long, smallest array<long>, fragment binary"))
     _release(spark)
 
-    every = distinct.select("key", "least").join(answers, "key", "left")
-    seen = cut.select("key", "rank", "row", "first", (F.octet_length("fragment") - LENGTH + 1).alias("n")).join(every, "key")
+    crowded = every.filter("fragment is not null")
+    if crowded.take(1):
+        strings = crowded.select(*name, "least", "fragment", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+        strings = strings.select(*name, "k", "least", F.substring("fragment", F.col("k") + 1, F.lit(LENGTH)).alias("string"))
+        low = strings.groupBy("string").agg(F.min("least").alias("low"))
+        alone = strings.join(low, "string").groupBy(*name).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "low"))), lambda x: x["low"]).alias("smallest"), F.min("least").alias("least"))
+        every = every.filter("fragment is null").select(*name, "least", "smallest").unionByName(alone.select(*name, "least", "smallest"))
+    seen = cut.select(*name, "rank", "row", "first").join(every.select(*name, "least", "smallest"), name)
     # bit k: string k of the fragment starts in a smaller document
-    whole = F.expr("if(least < rank, shiftleft(1L, cast(n AS int)) - 1, 0L)")
-    each = F.expr("aggregate(sequence(0, cast(n AS int) - 1), 0L, (acc, k) -> acc | if(get(smallest, k) < rank, shiftleft(1L, k), 0L))")
+    whole = F.expr("if(least < rank, shiftleft(1L, n) - 1, 0L)")
+    each = F.expr("aggregate(sequence(0, n - 1), 0L, (acc, k) -> acc | if(get(smallest, k) < rank, shiftleft(1L, k), 0L))")
     hits = seen.select("row", "first", F.when(F.col("smallest").isNull(), whole).otherwise(each).alias("mask")).filter("mask <> 0")
     hits = hits.groupBy("row").agg(F.collect_set(F.struct("first", "mask")).alias("hits"))
-    return rows.select("doc_id", "row", "body").join(hits, "row", "left").select("doc_id", "body", "hits").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.select("doc_id", "row", "body", "copy").join(hits, "row", "left").select("doc_id", "body", "copy", "hits").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
