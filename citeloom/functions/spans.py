@@ -30,7 +30,7 @@ class Normalized:
             parts.append(raw[last : m.start()])
             length += m.start() - last
             last = m.end()
-            if m["space"] and length and last < len(raw.rstrip(ZERO_WIDTH + " \t\r\n \f\v")) + 1 and raw[last:].strip(ZERO_WIDTH).strip():
+            if m["space"] and length and last < visible:
                 parts.append(" ")
                 self.at.append(length)
                 self.raw_at.append(m.start())
