@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -97,6 +96,3 @@ def edges_of(spark: SparkSession, links: DataFrame, documents: DataFrame) -> Dat
     b = documents.select(F.col("document_id").alias("target_document"), F.col("date").alias("target_date"))
     return links.join(a, "source_document", "left").join(b, "target_document", "left").withColumn("is_same_proceeding", F.col("target_scope") == "same_proceeding")
 
-
-def ranked(rows: DataFrame, by: list, most: int) -> DataFrame:
-    return rows.withColumn("position", F.row_number().over(W.orderBy(*by))).filter(F.col("position") <= most)
