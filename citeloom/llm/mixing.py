@@ -17,7 +17,6 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import BLANK, Staged, plain_text

@@ -9,7 +9,6 @@ language is guessed from the text itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
