@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,3 +70,16 @@ def plain_text(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else (``lower`` would also change other letters)."""
     return F.translate(plain_text(text), UPPER, LOWER)
+
+
+#: Bytes of a slice that a Python worker takes in hand at a time.
+SLICE = 6 << 20
+
+
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of about SLICE bytes; memory of finished ones is given back, so workers stay small."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * SLICE // max(1, batch.nbytes))
+        for low in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(low, rows)
+        pa.default_memory_pool().release_unused()

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import partitions
+from citeloom.llm.common import lean, partitions
 from citeloom.llm.order import cut_points, range_of
 
 BUCKETS = 256
@@ -80,7 +80,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = digest(edited)
         return a[1], len(a[2]), hashlib.sha256(edited).hexdigest(), encode(a[3]), encode(d), likeness(a[3], d), likeness(a[3], b[3])
 
-    for batch in batches:
+    for batch in lean(batches):
         out = []
         for at, doc_id, text, halo in zip(*(batch.column(c).to_pylist() for c in ("at", "doc_id", "body", "halo")), strict=True):
             if halo and (before is None or before[0] != at):

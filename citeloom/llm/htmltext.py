@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import Staged
+from citeloom.llm.common import Staged, lean
 
 #: A class is valid from so many pages and this share of its host's pages.
 PAGES, SHARE = 3, 0.3
@@ -155,8 +155,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        held: dict[bytes | None, set[int]] = {}
+    for batch in lean(batches):
         texts = []
         for page, template in zip(batch.column("page").to_pylist(), batch.column("template").to_pylist(), strict=True):
             texts.append(main_text(page, set(template or ())))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import LOWER, UPPER, Staged, partitions, plain_text
+from citeloom.llm.common import LOWER, UPPER, Staged, lean, partitions, plain_text
 from citeloom.llm.components import components
 
 BANDS, ROWS = 32, 5
@@ -102,7 +102,7 @@ def _sets(width: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             n, keys, sigs = [], [], []
             for text in batch.column("body"):
                 s = shingles(text.as_py(), width)
@@ -116,7 +116,7 @@ def _sets(width: int):
 
 def _set_bytes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([shingles(t.as_py(), width).tobytes() for t in batch.column("body")], pa.binary())], names=["rep", "members"])
 
     return run
@@ -126,7 +126,7 @@ def _likely(bound: float):
     needed = least_matches(bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
             alive = np.arange(len(x))
             same = np.zeros(len(x), np.int64)
@@ -140,7 +140,7 @@ def _likely(bound: float):
 
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             keep = []
             for k, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
                 x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
@@ -232,7 +232,7 @@ def _by_group(group, payload: tuple[str, ...], out_names: tuple[str, ...]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for batch in batches:
+        for batch in lean(batches):
             out = []
             for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
                 if held and held[0][:3] != row[:3]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import Staged, partitions, plain_text
+from citeloom.llm.common import Staged, lean, partitions, plain_text
 from citeloom.llm.order import cut_points, range_of
 
 SEQUENCE = 1024
@@ -95,7 +95,7 @@ TOKENS = pa.schema([("doc_id", pa.int64()), ("order_key", pa.int64()), ("n", pa.
 def _tokenise(vocabulary: str, ranks: str | None, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, table = tokenizer(vocabulary, ranks), projection()
-        for batch in batches:
+        for batch in lean(batches):
             bodies, spread = batch.column("body"), batch.column("spread").to_numpy(zero_copy_only=False)
             ids, sums = [], np.zeros((batch.num_rows, DIMENSIONS), np.float32)
             for k in range(batch.num_rows):
@@ -115,7 +115,7 @@ PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_
 def _cut(starts: list[int], size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, place = None, 0
-        for batch in batches:
+        for batch in lean(batches):
             out = []
             for r, doc_id, n, data in zip(*(batch.column(c).to_pylist() for c in ("at", "doc_id", "n", "ids")), strict=True):
                 if r != at:

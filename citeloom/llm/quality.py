@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import plain_text
+from citeloom.llm.common import lean, plain_text
 
 FEATURES = 384
 #: At most about this many labelled documents are used to fit; taken by a hash of the identifier.
@@ -99,7 +99,7 @@ class QualityModel:
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n, one, two = 0, np.zeros(N_STATISTICS), np.zeros(N_STATISTICS)
-    for batch in batches:
+    for batch in lean(batches):
         x = matrix(batch.column("body").to_pylist())
         n, one, two = n + len(x), one + x.sum(0), two + (x * x).sum(0)
     yield pa.RecordBatch.from_pydict({"part": [np.concatenate([[n], one, two]).tobytes()]})
@@ -108,7 +108,7 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _equations(model: QualityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((FEATURES + 2, FEATURES + 2))
-        for batch in batches:
+        for batch in lean(batches):
             if batch.num_rows:
                 y = np.asarray(batch.column("quality").to_pylist(), float)
                 x = np.hstack([model.features(matrix(batch.column("body").to_pylist())), y[:, None]])
@@ -120,7 +120,7 @@ def _equations(model: QualityModel):
 
 def _raw(model: QualityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             raw = model.features(matrix(batch.column("body").to_pylist())) @ model.weights
             yield pa.RecordBatch.from_pydict({"raw": pa.array(raw, pa.float64()), "quality": batch.column("quality").cast(pa.int32())})
 
@@ -174,7 +174,7 @@ def scorer(model):
     """mapInArrow function over (doc_id, held_out, body) for any model with ``score(texts)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             scores = model.score(batch.column("body").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], schema=SCORES)
 
@@ -198,7 +198,7 @@ def accepted(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> Da
     """The rows of ``docs``, with all their columns, that the classifier does not reject."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lean(batches):
             scores = model.score([t or "" for t in batch.column("text").to_pylist()])
             yield batch.filter(pa.array(scores >= threshold))
 

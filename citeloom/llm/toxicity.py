@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeloom.llm.common import lean
 from citeloom.llm.quality import FIT_TASKS, labelled, scorer
 
 BUCKETS = 1 << 15
@@ -228,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, limit
     def codes(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in lean(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array([encode(x).astype(np.uint16).tobytes() for x in batch.column("body").to_pylist()], pa.binary())], names=["doc_id", "toxic", "codes"])
 
     got = sorted((r["doc_id"], r["toxic"], bytes(r["codes"])) for r in rows.select("doc_id", "toxic", "body").repartition(FIT_TASKS).mapInArrow(codes, "doc_id long, toxic int, codes binary").collect())
