@@ -27,6 +27,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -369,9 +370,11 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _release(spark) -> None:
-    """Lets Spark delete the shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of finished steps; what Python drops first is dropped by the JVM in the second round."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def _fragments(rows: DataFrame, stage: Staged) -> DataFrame:
