@@ -247,12 +247,13 @@ class Column:
         return np.fromfile(self.file, self.dtype)
 
 
-def equal_strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, class) of every string of ``LENGTH`` bytes of some texts, by text and place; equal strings, and no others, share a class."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) - LENGTH + 1
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    letters = np.frombuffer(b"".join(texts), np.uint8)
-    begin = np.repeat(np.cumsum(sizes + LENGTH - 1) - (sizes + LENGTH - 1) - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+def equal_strings(letters: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, class) of every string of ``LENGTH`` bytes of some texts, by text and place; equal strings, and no others, share a class.
+
+    ``letters`` has the texts one after the other, ``sizes`` the numbers of their strings.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    begin = np.arange(sizes.sum()) + owner * (LENGTH - 1)
     count = len(owner)
     order, bwt, common = Column(np.arange(count, dtype=np.int32)), Column(letters[begin + LENGTH - 1]), Column(np.ones(count, np.uint8))
     for j in range(1, LENGTH + 1):
@@ -276,66 +277,65 @@ def equal_strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 ANSWER = pa.schema([("ha", pa.int64()), ("hb", pa.int64()), ("n", pa.int32()), ("least", pa.int64()), ("smallest", pa.list_(pa.int64())), ("fragment", pa.binary())])
 
 
+def _answers(names: list[np.ndarray], least: np.ndarray, smallest: pa.Array | None = None, fragment: pa.Array | None = None) -> pa.RecordBatch:
+    none = [pa.nulls(len(least), f.type) for f in (ANSWER.field("smallest"), ANSWER.field("fragment"))]
+    arrays = [*(pa.array(x, f.type) for x, f in zip(names, ANSWER, strict=False)), pa.array(least, pa.int64()), smallest if smallest is not None else none[0], fragment if fragment is not None else none[1]]
+    return pa.RecordBatch.from_arrays(arrays, schema=ANSWER)
+
+
 def _smallest(crowd_size: int):
     """For each fragment its smallest identifier and, where others share its minimizer, that of each of its strings.
 
-    Rows come ordered by minimizer, name and identifier. Fragments of crowded minimizers are
-    given back with their bytes instead.
+    Rows come ordered by minimizer, name and identifier. They are taken in hand when a
+    collection is full, up to the last minimizer, which may go on. Fragments of crowded
+    minimizers are given back with their bytes instead.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []  # finished: name, least, smallest, fragment
-        held: list[tuple] = []  # for the collection: name, least, fragment
-        group: list[tuple] = []
-        strings = 0
-
-        def solve() -> None:
-            nonlocal held, strings
-            if held:
-                owner, kind = equal_strings([x[4] for x in held])
-                low = np.full(kind.max() + 1, np.iinfo(np.int64).max)
-                np.minimum.at(low, kind, np.array([x[3] for x in held], np.int64)[owner])
-                for x, own in zip(held, np.split(low[kind], np.cumsum([x[2] for x in held])[:-1]), strict=True):
-                    out.append((*x[:4], own.tolist(), None))
-            held, strings = [], 0
-
-        def close() -> None:
-            nonlocal group, strings
-            if len(group) == 1:
-                out.append((*group[0][:4], None, None))
-            else:
-                held.extend(group)
-                strings += sum(x[2] for x in group)
-            group = []
-            if strings >= COLLECTION:
-                solve()
-
-        def made() -> pa.RecordBatch:
-            nonlocal out
-            batch = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(ANSWER)], schema=ANSWER)
-            out = []
-            return batch
+    def solved(table: pa.Table, crowded: int | None) -> Iterator[pa.RecordBatch]:
+        """``crowded``: a minimizer whose earlier fragments were given back already."""
+        columns = [table.column(c).to_numpy() for c in ("minimizer", *NAME, "rank")]
+        fresh = np.zeros(len(columns[0]), bool)
+        fresh[:1] = True
+        for c in columns[:4]:
+            fresh[1:] |= c[1:] != c[:-1]  # the same fragment from another batch has a larger identifier
+        m, ha, hb, n, least = (c[fresh] for c in columns)
+        fragments_ = table.column("fragment").combine_chunks().filter(pa.array(fresh))
+        start = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+        size = np.diff(np.append(start, len(m)))
+        size = np.repeat(np.where(m[start] == crowded, crowd_size + 1, size) if crowded is not None else size, size)
+        alone, crowd = size == 1, size > crowd_size
+        if alone.any():
+            yield _answers([ha[alone], hb[alone], n[alone]], least[alone])
+        if crowd.any():
+            yield _answers([ha[crowd], hb[crowd], n[crowd]], least[crowd], fragment=fragments_.filter(pa.array(crowd)))
+        several = ~alone & ~crowd
+        if several.any():
+            letters = np.frombuffer(b"".join(fragments_.filter(pa.array(several)).to_pylist()), np.uint8)
+            count = n[several].astype(np.int64)
+            owner, kind = equal_strings(letters, count)
+            low = np.full(kind.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(low, kind, least[several][owner])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(low[kind]))
+            yield _answers([ha[several], hb[several], n[several]], least[several], smallest=lists)
 
-        last, at, crowd = None, None, False
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows, crowded = 0, None
         for batch in batches:
-            for m, a, b, n, rank, fragment in zip(*(batch.column(c).to_pylist() for c in ("minimizer", *NAME, "rank", "fragment")), strict=True):
-                if last == (m, a, b, n):
-                    continue  # the same fragment from another batch, with a larger identifier
-                last = (m, a, b, n)
-                if m != at:
-                    close() if group else None
-                    at, crowd = m, False
-                if crowd:
-                    out.append((a, b, n, rank, None, fragment))
-                    continue
-                group.append((a, b, n, rank, fragment))
-                if len(group) > crowd_size:
-                    out += [(*x[:4], None, x[4]) for x in group]
-                    group, crowd = [], True
-            yield made()
-        close() if group else None
-        solve()
-        yield made()
+            held.append(batch)
+            rows += batch.num_rows
+            if rows * 16 < COLLECTION and rows <= crowd_size:
+                continue
+            table = pa.Table.from_batches(held)
+            m = table.column("minimizer").to_numpy()
+            cut = int(np.searchsorted(m, m[-1]))  # where the last minimizer begins
+            if cut == 0 and rows > crowd_size * 2 or crowded is not None and m[-1] == crowded:
+                crowded, cut = int(m[-1]), rows  # one minimizer fills all: it is crowded, now and in what follows
+            if cut:
+                yield from solved(table.slice(0, cut), crowded)
+            held, rows = table.slice(cut).to_batches(), rows - cut
+        if rows:
+            yield from solved(pa.Table.from_batches(held), crowded)
 
     return run
 
@@ -423,6 +423,7 @@ def repeated_passages(docs: DataFrame, crowd_size: int = CROWD) -> DataFrame:
 
     crowded = every.filter("fragment is not null")
     if crowded.take(1):
+        crowded = crowded.groupBy(*name).agg(F.min("least").alias("least"), F.first("fragment").alias("fragment"))  # a name can come back from two slices
         strings = crowded.select(*name, "least", "fragment", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
         strings = strings.select(*name, "k", "least", F.substring("fragment", F.col("k") + 1, F.lit(LENGTH)).alias("string"))
         low = strings.groupBy("string").agg(F.min("least").alias("low"))
