@@ -1,12 +1,10 @@
 """Main text of web pages by template deduction from equivalence classes.
 
-Pages of one host are rendered from one template. A page is read as tokens: elements with
-their path, and text blocks with theirs. Over all pages of a host, tokens with the same
-occurrence vector (as often on the same pages) form an equivalence class; classes that enough
-pages share are valid, and together, nested by their paths, they are the template. What the
-template's own text blocks and its navigation, advert, form and comment parts do not cover is
-the content of its slots; the slot of the article element, where the template has one, is the
-main text.
+Pages of one host with an article or main element, and those without, have a layout each. The text blocks of a page's frame, which is its article or main element where
+it has one, are tokens with their path. Over the pages of a layout, tokens with the same occurrence vector (as often on the same pages) form
+an equivalence class. A class is the template's where enough pages have it and the pages
+have other text; what no such class covers is in the slots, and the
+slots are the main text.
 """
 
 from __future__ import annotations
@@ -23,8 +21,12 @@ from citeloom.llm.common import Staged, lean
 
 #: A class is valid from so many pages and this share of its host's pages.
 PAGES, SHARE = 3, 0.3
-#: Templates of up to so many hosts are broadcast; more are joined by shuffle.
-BROADCAST_HOSTS = 20_000
+#: The same inside the article or main element, where removal needs more evidence.
+INSIDE_PAGES, INSIDE_SHARE = 8, 0.5
+#: Of the text of a class's pages, such a share at least is in no candidate class; near copies of one page stay below.
+REST = 0.2
+#: Templates of up to so many layouts, and candidates of up to so many tokens, are broadcast; more are joined by shuffle.
+BROADCAST_HOSTS, BROADCAST_TOKENS = 20_000, 100_000
 
 #: Elements by kind, and names in class, id and role that mark parts that are not main text: fixed values.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -107,7 +109,8 @@ def parts(page: str) -> Iterator[tuple[str, str, bool, bool]]:
             if not own or apart:
                 continue  # inline elements matter only where they set text apart
             yield from flush()
-        path = f"{path}>{tag}" + ("." + ".".join(sorted(names - {""})) if names and not inline else "")
+        named = sorted(w for w in names if w.isalpha())  # words with digits number pages, not layouts
+        path = f"{path}>{tag}" + ("." + ".".join(named) if named and not inline else "")
         if tag in VOID or attributes.endswith("/") and tag in VOID:
             continue
         now = (tag, path[-200:], main or root, (False if root else apart) or own and not root)
@@ -123,58 +126,62 @@ def _key(path: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\n{text}".encode()) - (1 << 63)
 
 
-def main_text(page: str, template: set[int]) -> str:
-    """Blocks of the main element outside parts set apart; without such an element, all blocks that are neither apart nor the template's own."""
-    blocks = [x for x in parts(page) if x[1]]
-    inside = [t for _, t, main, apart in blocks if main and not apart]
-    if inside:
-        return "\n".join(inside)
-    return "\n".join(t for p, t, _, apart in blocks if not apart and _key(p, t) not in template)
+def frame(page: str) -> tuple[int, bool, list[tuple[int, str]]]:
+    """(layout, inside, text blocks with keys): the blocks of the main element, else of the page, without parts set apart."""
+    inside, around = [], []
+    for path, text, main, apart in parts(page):
+        if text and not apart:
+            (inside if main else around).append((_key(path, text), text))
+    return int(bool(inside)), bool(inside), inside or around
 
 
-TOKENS = pa.schema([("host", pa.string()), ("token", pa.int64()), ("pages", pa.int64()), ("times", pa.int64()), ("vector", pa.int64()), ("words", pa.bool_())])
+TOKENS = pa.schema([("host", pa.string()), ("layout", pa.int64()), ("inside", pa.bool_()), ("content", pa.int64()), ("token", pa.int64()), ("times", pa.int64()), ("chars", pa.int64())])
+BLOCKS = pa.list_(pa.struct([("key", pa.int64()), ("text", pa.string())]))
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
-
-    for batch in batches:
-        sums: dict[tuple, list[int]] = {}
+    for batch in lean(batches):
+        rows: dict[tuple, list[int]] = {}
         for host, row, page in zip(*(batch.column(c).to_pylist() for c in ("host", "row", "page")), strict=True):
-            counts: dict[tuple, int] = {}
-            for path, text, main, apart in parts(page):
-                if not (text and main):  # the text of the main slot is content, whatever its repetitions
-                    k = (_key(path, text), bool(text))
-                    counts[k] = counts.get(k, 0) + 1
-            for (token, words), n in counts.items():
-                s = sums.setdefault((host, token, words), [0, 0, 0])
-                s[0] += 1
-                s[1] += n
-                s[2] += xxhash.xxh3_64_intdigest(f"{row} {n}".encode()) >> 33
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int64()), *(pa.array([s[i] for s in sums.values()], pa.int64()) for i in range(3)), pa.array([k[2] for k in sums], pa.bool_())], schema=TOKENS)
-
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            layout, inside, blocks = frame(page)
+            content = _key("", f"{row}")
+            counts: dict[int, list[int]] = {}
+            for key, text in blocks:
+                counts.setdefault(key, [0, len(text)])[0] += 1
+            for key, n in counts.items():
+                rows[host, layout, inside, content, key] = n
+        columns = [*zip(*rows)] or [()] * 5
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, TOKENS, strict=False)), *(pa.array([n[i] for n in rows.values()], pa.int64()) for i in range(2))], schema=TOKENS)
+
+
+def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in lean(batches):
-        texts = []
-        for page, template in zip(batch.column("page").to_pylist(), batch.column("template").to_pylist(), strict=True):
-            texts.append(main_text(page, set(template or ())))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        made = [frame(page) for page in batch.column("page").to_pylist()]
+        blocks = pa.array([[{"key": k, "text": t} for k, t in m[2]] for m in made], BLOCKS)
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array([m[0] for m in made], pa.int64()), blocks], names=["page_id", "url", "host", "layout", "blocks"])
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, template, elements, classes): hashes of the text tokens in the valid classes of each host, and how large the template is.
+def templates(pages: DataFrame, stage: Staged) -> DataFrame:
+    """(host, layout, template): hashes of the text tokens in the valid classes of each layout.
 
-    Occurrence vectors are compared by sums of page hashes. Tokens on a fixed share of a host's
-    pages are at most a fixed multiple of the tokens of an average page, so a template is small
-    however many pages its host has; the counts are summed before and after the shuffle.
+    Occurrence vectors are compared by sums of content hashes. Tokens on a fixed share of a
+    layout's contents are at most a fixed multiple of the tokens of an average page, so a
+    template is small however many pages its host has.
     """
-    tokens = pages.select("host", "row", "page").mapInArrow(_tokens, "host string, token long, pages long, times long, vector long, words boolean")
-    each = tokens.groupBy("host", "token", "words").agg(F.sum("pages").alias("pages"), F.sum("times").alias("times"), F.sum("vector").alias("vector")).filter(F.col("pages") >= PAGES)
-    hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("all_pages"))
-    valid = each.join(hosts, "host").filter(F.col("pages") >= SHARE * F.col("all_pages"))
-    classes = valid.groupBy("host", "pages", "times", "vector").agg(F.collect_list(F.when(F.col("words"), F.col("token"))).alias("own"), F.count_if(~F.col("words")).alias("elements"))
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("own")).alias("template"), F.sum("elements").alias("elements"), F.count(F.lit(1)).alias("classes")).filter(F.size("template") > 0)
+    at = ["host", "layout"]
+    tokens = pages.select("host", "row", "page").mapInArrow(_tokens, "host string, layout long, inside boolean, content long, token long, times long, chars long")
+    tokens = stage.write(tokens.groupBy(*at, "inside", "content", "token").agg(F.max("times").alias("times"), F.max("chars").alias("chars")))
+    all_contents = tokens.select(*at, "content").distinct().groupBy(*at).agg(F.count(F.lit(1)).alias("all_contents"))
+    vector = F.sum(F.shiftrightunsigned(F.xxhash64("content", "times"), 31)).alias("vector")
+    each = tokens.groupBy(*at, "inside", "token").agg(F.count(F.lit(1)).alias("pages"), F.sum("times").alias("n"), vector).filter(F.col("pages") >= F.when(F.col("inside"), INSIDE_PAGES).otherwise(PAGES))
+    enough = F.col("pages") >= F.when(F.col("inside"), INSIDE_SHARE).otherwise(SHARE) * F.col("all_contents")
+    candidates = stage.write(each.join(all_contents, at).filter(enough).select(*at, "token", F.xxhash64("pages", "n", "vector").alias("class")))
+    # classes whose pages have little other text are pages copied with small changes, not a template
+    near = F.broadcast(candidates) if candidates.count() <= BROADCAST_TOKENS else candidates
+    text = F.col("times") * F.col("chars")
+    covered = tokens.join(near, [*at, "token"], "left").groupBy(*at, "content").agg((F.sum(F.when(F.col("class").isNull(), text).otherwise(0)) / F.sum(text)).alias("rest"), F.collect_set("class").alias("classes"))
+    valid = covered.select(*at, "rest", F.explode("classes").alias("class")).groupBy(*at, "class").agg(F.avg("rest").alias("rest")).filter(F.col("rest") >= REST)
+    return candidates.join(valid.drop("rest"), [*at, "class"]).groupBy(*at).agg(F.collect_list("token").alias("template"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -187,7 +194,10 @@ def extract(pages: DataFrame) -> DataFrame:
     stage = Staged(pages.sparkSession, "htmltext")
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.xxhash64("page_id", "url").alias("row"), F.coalesce(F.col("html"), F.lit("")).alias("page"))
-    made = stage.write(templates(rows)).select("host", "template")
+    made = stage.write(templates(rows, stage))
     few = made.count() <= BROADCAST_HOSTS
-    joined = rows.join(F.broadcast(made) if few else made, "host", "left")
-    return joined.select("page_id", "url", "page", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    framed = rows.mapInArrow(_frames, "page_id long, url string, host string, layout long, blocks array<struct<key:long,text:string>>")
+    joined = framed.join(F.broadcast(made) if few else made, ["host", "layout"], "left")
+    kept = F.when(F.col("template").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.array_contains("template", b["key"])))
+    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
+    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

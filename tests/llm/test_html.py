@@ -50,3 +50,21 @@ def test_generated_pages(spark):
         article = re.search(r"(?s)<article>(.*?)</article>", r["html"])[1]
         blocks = re.split(r"</?(?:p|h1)>", article.replace("<br>", " "))
         assert got[r["page_id"]] == "\n".join(x for b in blocks if (x := " ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split())))
+
+
+def _texts(spark, rows):
+    return {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_template_text_goes_inside_article(spark):
+    ship(spark)
+    page = '<html><body><article id="post-{n}"><h1>Title {n}</h1><div class="zz-box"><p>Get our weekly letter</p></div><p>{own} of page {n}.</p></article></body></html>'
+    rows = [(i, f"http://inside.example/{i}", page.format(n=i, own="Own words and more words")) for i in range(12)]
+    assert _texts(spark, rows) == {i: f"Title {i}\nOwn words and more words of page {i}." for i in range(12)}
+
+
+def test_near_copies_keep_their_article(spark):
+    ship(spark)
+    page = "<html><body><article><h1>One title</h1>" + "".join(f"<p>Paragraph {k} of one article.</p>" for k in range(12)) + "<p>Visit {n}</p></article></body></html>"
+    got = _texts(spark, [(i, f"http://near.example/{i}", page.format(n=i)) for i in range(12)])
+    assert all(t.count("\n") == 13 and t.startswith("One title\nParagraph 0") for t in got.values())
