@@ -1,9 +1,11 @@
 """Main text of web pages by template deduction from equivalence classes.
 
-Pages of one host with an article or main element, and those without, have a layout each. The text blocks of a page's frame, which is its article or main element where
-it has one, are tokens with their path. Over the pages of a layout, tokens with the same occurrence vector (as often on the same pages) form
-an equivalence class. A class is the template's where enough pages have it and the pages
-have other text; what no such class covers is in the slots, and the
+Pages of one host with one skeleton (their block elements outside parts set apart) are rendered
+from one layout. The text blocks of a page's frame, which is its article or main element where
+it has one, are tokens with their path. Over the different contents of a layout (copies of a
+page count once), tokens with the same occurrence vector (as often on the same contents) form
+an equivalence class. A class is the template's where enough contents have it and the text
+around it differs from content to content; what no such class covers is in the slots, and the
 slots are the main text.
 """
 
@@ -42,6 +44,8 @@ NAMES = set(
 )
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ROOTS = {"article", "main"}
+#: Elements of running text, which come and go from page to page; without a class or id they are not part of a skeleton.
+FLOW = set("address blockquote dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr legend li ol p pre summary table tbody td tfoot th thead tr ul".split())
 
 SCAN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(script|style|textarea|xmp)\b[^>]*+>.*?(?:</\1\b[^>]*+>|\Z)"
@@ -128,11 +132,15 @@ def _key(path: str, text: str) -> int:
 
 def frame(page: str) -> tuple[int, bool, list[tuple[int, str]]]:
     """(layout, inside, text blocks with keys): the blocks of the main element, else of the page, without parts set apart."""
-    inside, around = [], []
+    skeleton, inside, around = set(), [], []
     for path, text, main, apart in parts(page):
-        if text and not apart:
+        if apart:
+            continue
+        if text:
             (inside if main else around).append((_key(path, text), text))
-    return int(bool(inside)), bool(inside), inside or around
+        elif path.rpartition(">")[2] not in FLOW:
+            skeleton.add(path)
+    return _key(" ".join(sorted(skeleton)), str(bool(inside))), bool(inside), inside or around
 
 
 TOKENS = pa.schema([("host", pa.string()), ("layout", pa.int64()), ("inside", pa.bool_()), ("content", pa.int64()), ("token", pa.int64()), ("times", pa.int64()), ("chars", pa.int64())])
@@ -142,9 +150,9 @@ BLOCKS = pa.list_(pa.struct([("key", pa.int64()), ("text", pa.string())]))
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in lean(batches):
         rows: dict[tuple, list[int]] = {}
-        for host, row, page in zip(*(batch.column(c).to_pylist() for c in ("host", "row", "page")), strict=True):
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist(), strict=True):
             layout, inside, blocks = frame(page)
-            content = _key("", f"{row}")
+            content = _key("", "\n".join(t for _, t in blocks))
             counts: dict[int, list[int]] = {}
             for key, text in blocks:
                 counts.setdefault(key, [0, len(text)])[0] += 1
@@ -169,7 +177,7 @@ def templates(pages: DataFrame, stage: Staged) -> DataFrame:
     template is small however many pages its host has.
     """
     at = ["host", "layout"]
-    tokens = pages.select("host", "row", "page").mapInArrow(_tokens, "host string, layout long, inside boolean, content long, token long, times long, chars long")
+    tokens = pages.select("host", "page").mapInArrow(_tokens, "host string, layout long, inside boolean, content long, token long, times long, chars long")
     tokens = stage.write(tokens.groupBy(*at, "inside", "content", "token").agg(F.max("times").alias("times"), F.max("chars").alias("chars")))
     all_contents = tokens.select(*at, "content").distinct().groupBy(*at).agg(F.count(F.lit(1)).alias("all_contents"))
     vector = F.sum(F.shiftrightunsigned(F.xxhash64("content", "times"), 31)).alias("vector")
@@ -193,7 +201,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     stage = Staged(pages.sparkSession, "htmltext")
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.xxhash64("page_id", "url").alias("row"), F.coalesce(F.col("html"), F.lit("")).alias("page"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.coalesce(F.col("html"), F.lit("")).alias("page"))
     made = stage.write(templates(rows, stage))
     few = made.count() <= BROADCAST_HOSTS
     framed = rows.mapInArrow(_frames, "page_id long, url string, host string, layout long, blocks array<struct<key:long,text:string>>")

@@ -68,3 +68,20 @@ def test_near_copies_keep_their_article(spark):
     page = "<html><body><article><h1>One title</h1>" + "".join(f"<p>Paragraph {k} of one article.</p>" for k in range(12)) + "<p>Visit {n}</p></article></body></html>"
     got = _texts(spark, [(i, f"http://near.example/{i}", page.format(n=i)) for i in range(12)])
     assert all(t.count("\n") == 13 and t.startswith("One title\nParagraph 0") for t in got.values())
+
+
+def test_copies_count_once_without_article(spark):
+    ship(spark)
+    page = "<html><body><div><p>{a}</p></div><div><p>{b}</p></div></body></html>"
+    rows = [(i, f"http://mirror.example/{i}", page.format(a="The copied article", b="has two parts")) for i in range(5)]
+    rows += [(9, "http://mirror.example/9", page.format(a="Another", b="page"))]
+    got = _texts(spark, rows)
+    assert {got[i] for i in range(5)} == {"The copied article\nhas two parts"} and got[9] == "Another\npage"
+
+
+def test_templates_are_per_layout(spark):
+    ship(spark)
+    page = '<html><body><div class="{w}"><p>Greetings from {w}</p><p>Text number {n} stands on this page only</p></div></body></html>'
+    words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    rows = [(i, f"http://many.example/{i}", page.format(w=words[i % 5], n=i)) for i in range(20)]
+    assert _texts(spark, rows) == {i: f"Text number {i} stands on this page only" for i in range(20)}
