@@ -1,9 +1,10 @@
 """Personal data: fixed patterns plus bootstrapped contextual extraction (DataFrame functions only).
 
-The base patterns give seed entities. Every identifier-like token of the corpus (it has digits)
-is an instance; the words around it are lexical patterns. On the graph of patterns and
+The base patterns give seed entities. Every seed is an instance, and so is every run of
+identifier-like tokens outside seeds (with digits, or with a symbol between letters), and every
+token of a run; the words around the whole instance are lexical patterns. On the graph of patterns and
 instances, scores go back and forth a fixed number of rounds: a pattern scores as the share of
-its instances' scores, an instance as its best pattern. Tokens in the context of a pattern that
+its instances' scores, an instance as its best pattern. Instances in the context of a pattern that
 is confident and supported by several different seeds become further spans.
 """
 
@@ -24,7 +25,12 @@ PATTERNS = {
     "card": r"(?=[0-9])(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9](?:[\x20().-]*+[0-9]){9,14}+(?![\x20().-]*+[0-9])",
 }
-TOKEN = rf"(?<![^{BLANK}])[^{BLANK}]*[0-9][^{BLANK}]*+"
+#: What makes a token identifier-like: a digit, or a symbol (no apostrophe) between letters.
+MARK = r"(?:[0-9]|\p{L}[\x21-\x26\x28-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]++\p{L})"
+TOKEN = rf"(?<![^{BLANK}])[^{BLANK}]*{MARK}[^{BLANK}]*+"
+#: A run's tokens are at most so many blanks apart; any other word between would take more.
+GAP = 2
+INSTANCE = "struct<start:int,end:int,value:string,left:string,around:string,kind:int,run:int,whole:boolean>"
 ROUNDS = 3
 #: A pattern needs so many different seeds, and a score, to discover.
 SUPPORT, CONFIDENCE = 3, 0.6
@@ -92,36 +98,71 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat(F.get(names, s["kind"]), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
-def _instances(text: Column) -> Column:
-    """array<struct<start, end, value, left, around>> of tokens with digits, with their contexts."""
-    found = matches(text, TOKEN)
-    near = F.lit(48)
+def _bound(value: Column, then) -> Column:
+    """then(value), with value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    def context(m: Column) -> Column:
-        lead = F.length(F.regexp_extract(m["found"], r"^[\p{Punct}&&[^+]]*+", 0))
-        value = F.regexp_replace(F.substr(m["found"], lead + 1), r"\p{Punct}+$", "")
-        before = F.lower(F.substr(text, F.greatest(F.lit(1), m["start"] - 47), F.least(near, m["start"])))
-        after = F.lower(F.substr(text, m["end"] + 1, F.lit(32)))
-        last = F.regexp_extract(before, rf"([^{BLANK}]++[{BLANK}]++)?([^{BLANK}]++)[{BLANK}]++$", 0)
-        words = F.trim(F.regexp_replace(last, rf"[{BLANK}]+", " "))
-        return F.struct(
-            (m["start"] + lead).alias("start"), (m["start"] + lead + F.length(value)).alias("end"), value.alias("value"), words.alias("left"),
-            F.concat_ws("_", F.element_at(F.split(words, " "), -1), F.regexp_extract(after, rf"^[{BLANK}]++([^{BLANK}]++)", 1)).alias("around"),
-        )
 
-    kept = F.filter(found, lambda m: (F.length(m["found"]) >= 5) & (F.length(m["found"]) <= 64) & (F.length(F.regexp_replace(m["found"], "[^0-9]", "")) >= 2))
-    return F.transform(kept, context)
+def _contexts(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """The two words before the place, and the word before and the one after it; punctuation at the place is skipped."""
+    before = F.lower(F.substr(text, F.greatest(F.lit(1), start - 47), F.least(F.lit(48), start)))
+    before = F.regexp_replace(before, rf"(?<=^|[{BLANK}])\p{{Punct}}+$", "")
+    after = F.lower(F.substr(text, end + 1, F.lit(32)))
+    words = F.trim(F.regexp_replace(F.regexp_extract(before, rf"(?:[^{BLANK}]++[{BLANK}]++)?[^{BLANK}]++[{BLANK}]*+$", 0), rf"[{BLANK}]+", " "))
+    return words, F.concat_ws("_", F.element_at(F.split(words, " "), -1), F.regexp_extract(after, rf"^\p{{Punct}}*+[{BLANK}]++([^{BLANK}]++)", 1))
+
+
+def _instances(text: Column, base: Column) -> Column:
+    """array<INSTANCE>: the base spans with their kind, and runs of tokens outside them and the runs' tokens without one."""
+
+    def instance(start: Column, end: Column, value: Column, kind: Column, run: Column, whole: Column) -> Column:
+        left, around = _contexts(text, start, end)
+        return F.struct(start.alias("start"), end.alias("end"), value.alias("value"), left.alias("left"), around.alias("around"), kind.alias("kind"), run.alias("run"), whole.alias("whole")).cast(INSTANCE)
+
+    def candidate(place: Column) -> Column:
+        found = F.substr(text, place["start"] + 1, place["end"] - place["start"])
+        # an opening bracket stays where its closing one is inside the value
+        lead = F.length(F.regexp_extract(found, r"^(?:[\p{Punct}&&[^+(]]|\((?![^)]*\)[^)]*[\p{L}0-9]))*+", 0))
+        value = F.regexp_replace(F.substr(found, lead + 1), r"\p{Punct}+$", "")
+        start = place["start"] + lead
+        return instance(start, start + F.length(value), value, F.lit(None), place["run"], place["whole"])
+
+    def place(start: Column, end: Column, run: Column, whole: bool) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"), run.alias("run"), F.lit(whole).alias("whole"))
+
+    def places(tokens: Column) -> Column:
+        """The runs, and the tokens of runs of several."""
+        numbered = F.transform(tokens, lambda t, i: F.struct(t["start"].alias("start"), t["end"].alias("end"), i.alias("i")))
+        first = F.filter(numbered, lambda t: (t["i"] == 0) | (t["start"] - F.get(tokens, t["i"] - 1)["end"] > GAP))
+        last = F.filter(numbered, lambda t: (t["i"] == F.size(tokens) - 1) | (F.get(tokens, t["i"] + 1)["start"] - t["end"] > GAP))
+
+        def parts(f: Column, e: Column) -> Column:
+            whole = F.array(place(f["start"], e["end"], f["start"], True))
+            own = F.transform(F.slice(tokens, f["i"] + 1, e["i"] - f["i"] + 1), lambda t: place(t["start"], t["end"], f["start"], False))
+            return F.when(f["i"] == e["i"], whole).otherwise(F.concat(whole, own))
+
+        return F.flatten(F.zip_with(first, last, parts))
+
+    def free(m: Column) -> Column:
+        return ~F.exists(base, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"]))
+
+    def long_enough(p: Column) -> Column:
+        found = F.substr(text, p["start"] + 1, p["end"] - p["start"])
+        return (p["end"] - p["start"] >= 5) & (p["end"] - p["start"] <= 64) & found.rlike(rf"[0-9].*[0-9]|\p{{L}}[^{BLANK}\p{{L}}0-9]++\p{{L}}")
+
+    seeds = F.transform(base, lambda b: instance(b["start"], b["end"], F.substr(text, b["start"] + 1, b["end"] - b["start"]), b["kind"], F.lit(None), F.lit(True)))
+    tokens = F.filter(F.transform(matches(text, TOKEN), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))), free)
+    return F.concat(seeds, F.transform(F.filter(_bound(tokens, places), long_enough), candidate))
 
 
 def discover(seen: DataFrame, stage: Staged) -> DataFrame:
     """(doc_id, text_key, start, kind, end) of instances that confident patterns find outside the base spans.
 
-    ``seen`` has doc_id, text_key, base and instances.
+    ``seen`` has doc_id, text_key and instances. A run that is found takes the place of its tokens.
     """
-    flat = seen.filter(F.size("instances") > 0).select("doc_id", "text_key", "base", F.explode("instances").alias("i")).select("doc_id", "text_key", "base", "i.*")
-    over = F.filter("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    flat = stage.write(flat.withColumn("kind", F.get(over, F.lit(0))["kind"]).drop("base").filter("length(value) > 0"))
-    occurs = flat.select("doc_id", "text_key", "start", "end", "value", "kind", F.explode(F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("A "), "around"))).alias("pattern")).filter("length(pattern) > 4")
+    flat = seen.filter(F.size("instances") > 0).select("doc_id", "text_key", F.explode("instances").alias("i")).select("doc_id", "text_key", "i.*")
+    flat = stage.write(flat.filter("length(value) > 0"))
+    occurs = flat.select("doc_id", "text_key", "start", "end", "value", "kind", "run", "whole", F.explode(F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("A "), "around"))).alias("pattern")).filter("length(pattern) > 4")
     edges = occurs.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind"))
     known = edges.filter("kind is not null").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= SUPPORT)
     edges = stage.write(edges.join(known.select("pattern").distinct(), "pattern", "left_semi").select("pattern", "value", F.log1p("n").alias("w"), "kind"))
@@ -136,7 +177,9 @@ def discover(seen: DataFrame, stage: Staged) -> DataFrame:
         scored = stage.write(mass.groupBy("pattern", "kind").agg(F.sum("m").alias("m")).join(total, "pattern").select("pattern", "kind", (F.col("m") / F.col("total")).alias("score")))
         guess = edges.filter("kind is null").drop("kind").join(scored, "pattern").groupBy("value", "kind").agg(F.max("score").alias("score"))
     trusted = scored.join(known, ["pattern", "kind"]).filter(F.col("score") >= CONFIDENCE).select("pattern", F.col("kind").alias("found_kind"), "score")
-    hits = occurs.filter("kind is null").join(trusted, "pattern").groupBy("doc_id", "text_key", "start", "end").agg(F.max_by("found_kind", F.struct("score", "found_kind")).alias("kind"))
+    hits = occurs.filter("kind is null").join(trusted, "pattern").groupBy("doc_id", "text_key", "run", "whole", "start", "end").agg(F.max_by("found_kind", F.struct("score", "found_kind")).alias("kind"))
+    runs = hits.groupBy("doc_id", "text_key", "run").agg(F.max("whole").alias("any"), F.collect_list(F.struct("whole", "start", "kind", "end")).alias("hits"))
+    hits = runs.select("doc_id", "text_key", "any", F.explode("hits").alias("h")).filter("h.whole or not any").select("doc_id", "text_key", "h.*")
     return hits.select("doc_id", "text_key", "start", "kind", "end")
 
 
@@ -150,8 +193,9 @@ def find(docs: DataFrame) -> DataFrame:
     """
     stage = Staged(docs.sparkSession, "pii")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), plain_text(F.col("text")).alias("body"))
-    none = F.array().cast("array<struct<start:int,end:int,value:string,left:string,around:string>>")
-    seen = stage.write(rows.select("doc_id", F.xxhash64("body").alias("text_key"), base_spans(F.col("body")).alias("base"), F.when(F.col("body").rlike("[0-9][^ ]*[0-9]"), _instances(F.col("body"))).otherwise(none).alias("instances")))
+    found = rows.select("doc_id", "body", base_spans(F.col("body")).alias("base"))
+    instances = F.when((F.size("base") > 0) | F.col("body").rlike(MARK), _instances(F.col("body"), F.col("base"))).otherwise(F.array().cast(f"array<{INSTANCE}>"))
+    seen = stage.write(found.select("doc_id", F.xxhash64("body").alias("text_key"), "base", instances.alias("instances")))
     more = discover(seen, stage).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
     more = more.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "added")
     out = seen.drop("instances").join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")

@@ -113,6 +113,20 @@ def test_pii_contexts_discover_unseen(spark):
     assert got[101] == ""
 
 
+def test_pii_contexts_around_whole_seeds(spark):
+    phones = [(i, f"You can please call +1 (212) 555-{1000 + i} today. Thanks.") for i in range(30)]
+    mails = [(100 + i, f"You may always write {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}.doe@mail.example.org now. Thanks.") for i in range(30)]
+    cards = [(200 + i, f"She paid by card {c} yesterday.") for i, c in enumerate(("4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881", "5105 1051 0510 5100", "4222 2222 2222 2220"))]
+    hidden = {300: ("phone", "(212) 555-0199"), 301: ("phone", "212 555 0199"), 302: ("email", "jane.doe(at)mail.example.org"), 303: ("card", "4111 1111 1111 1112")}
+    around = {"phone": "You can please call {} today. Thanks.", "email": "You may always write {} now. Thanks.", "card": "She paid by card {} yesterday."}
+    rows = [(i, around[kind].format(x)) for i, (kind, x) in hidden.items()]
+    rows += [(400, "See sections 12 34 and 56.7.8 of e.g. the manual")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(phones + mails + cards + rows, "doc_id long, text string")).collect()}
+    for (i, text), (kind, x) in zip(rows, hidden.values(), strict=False):
+        assert got[i] == f"{kind}:{text.index(x)}:{text.index(x) + len(x)}"
+    assert got[400] == "" and got[7] == "phone:20:37"
+
+
 # --- 2: exact duplicates ---
 
 
