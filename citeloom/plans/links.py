@@ -51,6 +51,20 @@ def selfid_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").filter("s_suppkey < 9000").select("s_suppkey", F.array_join(L.identifier_keys(text, source), ",").alias("keys"))
 
 
+@query("""
+SELECT s_suppkey, array_to_string(list_sort(list_distinct(k)), ',') AS keys FROM (
+  SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN [concat('IIIUS', s_suppkey, '1999'), concat('US', s_suppkey, '99'), concat('IIIUS', s_suppkey, '99')]
+    WHEN 1 THEN [concat('S', n, '2014VZ'), concat('S', n, '2014'), concat('S', s_suppkey, '2014')]
+    ELSE [concat('25CDO', s_suppkey, '200712'), concat('25CDO', s_suppkey, '2007')] END AS k FROM (SELECT s_suppkey, CASE WHEN s_suppkey < 1000 THEN lpad(s_suppkey::VARCHAR, 4, '0') ELSE s_suppkey::VARCHAR END AS n FROM supplier))
+""")
+def selfid_keys_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("s_suppkey").cast("string")
+    padded = F.when(F.length(n) < 4, F.lpad(n, 4, "0")).otherwise(n)
+    text = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("III. ÚS "), n, F.lit("/1999"))).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("S"), padded, F.lit("/2014/VZ"))).otherwise(F.concat(F.lit("25 Cdo "), n, F.lit("/2007 - 12")))
+    source = F.when(F.col("s_suppkey") % 3 == 0, "nalus").when(F.col("s_suppkey") % 3 == 1, "uohs").otherwise("ns")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(L.identifier_keys(text, source), ",").alias("keys"))
+
+
 @query("""
 SELECT * FROM (VALUES ('ns', '21 Cdo 5_2010.txt', '21 Cdo 5/2010'), ('nalus', '3-84-94.txt', 'III. ÚS 84/94'), ('nalus', 'GetText.aspx_sz_1-432-97_2.txt', 'I. ÚS 432/97'), ('nalus', 'Pl-20-15.txt', 'Pl. ÚS 20/15'), ('nalus', 'St-3-09.txt', 'Pl. ÚS-st. 3/09'), ('uohs', '2014_S423_424.txt', 'S423/2014'), ('uohs', '2014_S423_424.txt', 'S424/2014'), ('uohs', '2021_S0666.txt', 'S0666/2021')) t(source, document_id, identifier)
 """)

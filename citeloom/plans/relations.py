@@ -32,6 +32,17 @@ def asof_law_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.as_of(orders, versions, "law", "at", "since", "version").select("o_orderkey", "version")
 
 
+@query("""
+WITH v AS (SELECT DISTINCT l_suppkey % 50 AS law, CAST(l_shipdate AS DATE)::VARCHAR AS since FROM lineitem),
+o AS (SELECT o_orderkey, o_custkey % 50 AS law, CAST(o_orderdate AS DATE)::VARCHAR AS at FROM orders)
+SELECT o_orderkey, since AS version FROM o ASOF LEFT JOIN v ON o.law = v.law AND o.at >= v.since
+""")
+def asof_law_version_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("law"), F.to_date("l_shipdate").cast("string").alias("since")).distinct().withColumn("version", F.col("since"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("law"), F.to_date("o_orderdate").cast("string").alias("at"))
+    return J.as_of(orders, versions, "law", "at", "since", "version").select("o_orderkey", "version")
+
+
 _SPANS = "SELECT user_id AS doc, event_id AS id, event_type, (floor(epoch(ts))::BIGINT % 5000) AS s, (floor(epoch(ts))::BIGINT % 5000) + 20 + event_id % 90 AS e FROM events"
 
 
