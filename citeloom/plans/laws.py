@@ -206,3 +206,12 @@ SELECT doc_id, regexp_replace(trim(regexp_replace(t, '\\s+', ' ', 'g')), '~', ''
 """)
 def normalized_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(T.normalize(F.substring("text", 1, 200)), "~", "").alias("normal"))
+
+
+_WHOLE = r"""trim(regexp_replace(regexp_replace(regexp_replace(translate(text, chr(160) || chr(13), ' ' || chr(10)), '[\x{200B}-\x{200D}\x{2060}\x{FEFF}\x{00AD}]', '', 'g'), '(\pL)-[ \t]*\n\s*(\pL)', '\1\2', 'g'), '[\s\x{0B}\x{85}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))"""
+
+
+@query(f"SELECT doc_id, sha256({_WHOLE}) AS normal_hash, length({_WHOLE}) AS n_chars FROM documents")
+def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("normal", T.normalize(F.col("text")))
+    return docs.select("doc_id", F.sha2("normal", 256).alias("normal_hash"), F.length("normal").cast("long").alias("n_chars"))

@@ -16,6 +16,11 @@ def counts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("documents"), F.count_distinct(F.substring("text", 1, 30)).alias("openings"))
 
 
+@query("SELECT lang, source, count(*) AS documents, count(DISTINCT text) AS texts FROM documents GROUP BY ALL")
+def texts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("documents"), F.count_distinct(F.sha2("text", 256)).alias("texts"))
+
+
 @query("""
 SELECT o_orderstatus AS source, count(*) AS n, sum((o_totalprice > 150000)::INT)::BIGINT AS resolved, sum((o_totalprice <= 150000)::INT)::BIGINT AS unresolved, round(sum((o_totalprice > 150000)::INT) / count(*), 6) AS share FROM orders GROUP BY 1
 """)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import __spark_entry__ as entry
 
 
@@ -22,3 +24,15 @@ def test_keys_of_all_suppliers(spark, tmp_path):
     got = dict(run(spark, tmp_path, "selfid_keys_whole", supplier=([(9001,), (12345,), (12346,), (12347,), (4,)], "s_suppkey long")))
     assert got[9001] == "S90012014,S90012014VZ" and got[12346] == "S123462014,S123462014VZ" and got[4] == "S00042014,S00042014VZ,S42014"
     assert got[12345] == "IIIUS123451999,IIIUS1234599,US1234599" and got[12347] == "25CDO123472007,25CDO12347200712"
+
+
+def test_normalized_text_beyond_200_characters(spark, tmp_path):
+    texts = ["a " * 200 + "end-\nless\u00a0\u200bx", "a " * 200 + "other", None]
+    got = run(spark, tmp_path, "normalized_text", documents=(list(enumerate(texts)), "doc_id long, text string"))
+    normal = ["a " * 200 + "endless x", "a " * 200 + "other"]
+    assert sorted(got)[:2] == [(i, hashlib.sha256(x.encode()).hexdigest(), len(x)) for i, x in enumerate(normal)] and sorted(got)[2] == (2, None, None)
+
+
+def test_texts_with_one_opening_count_apart(spark, tmp_path):
+    rows = [("cs", "s", "x" * 40 + end) for end in ("a", "b", "b")] + [("cs", "s", None)]
+    assert run(spark, tmp_path, "texts_by_source", documents=(rows, "lang string, source string, text string")) == [("cs", "s", 4, 2)]
