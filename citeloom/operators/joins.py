@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from citeloom.operators.graph import kept
+
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, since: str, value: str) -> DataFrame:
     """Left rows with the ``value`` of the last right row of their key whose ``since`` is not after ``at``.
@@ -62,3 +66,18 @@ def token_shortlist(queries: DataFrame, names: DataFrame, most: int) -> DataFram
 def carried(value: Column, partition: list[str], order: list[str]) -> Column:
     """The last value that is not null, up to the row."""
     return F.last(value, ignorenulls=True).over(W.partitionBy(*partition).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+
+
+def positions(df: DataFrame, *order: str) -> DataFrame:
+    """All rows with their ``position`` from 1 in the given order: a distributed sort, and the sizes of the ranges before.
+
+    Only the sizes are summed over all ranges. Nulls come first, and rows that tie get any order.
+    """
+    spark = df.sparkSession
+    ranged = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id())
+    ranged = kept(ranged.withColumn("__range", F.shiftright("__at", 33)))  # the sort is not run twice, so its ranges stay the same
+    sizes = sorted((r["__range"], r["n"]) for r in ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect())
+    before = list(zip((r for r, _ in sizes), accumulate((n for _, n in sizes), initial=0)))
+    starts = F.broadcast(spark.createDataFrame(before, "__range long, __before long"))
+    place = F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1
+    return ranged.join(starts, "__range").select(*df.columns, place.alias("position"))

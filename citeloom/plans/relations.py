@@ -211,6 +211,15 @@ def custom_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("p_partkey", F.get(labels, F.col("o")).alias("label"), F.row_number().over(W.orderBy("o", "p_partkey")).alias("position"))
 
 
+@query("""
+SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'none' END AS label, row_number() OVER (ORDER BY p_size % 4, p_partkey) AS position FROM part
+""")
+def custom_order_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = F.array(*map(F.lit, ("high", "medium", "low", "none")))
+    parts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 4).alias("o"))
+    return J.positions(parts, "o", "p_partkey").select("p_partkey", F.get(labels, F.col("o")).alias("label"), "position")
+
+
 @query("""
 SELECT o_orderkey, sha1(concat(o_orderpriority, chr(10), o_orderstatus)) AS entry_id FROM orders
 """)

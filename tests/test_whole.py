@@ -36,3 +36,12 @@ def test_normalized_text_beyond_200_characters(spark, tmp_path):
 def test_texts_with_one_opening_count_apart(spark, tmp_path):
     rows = [("cs", "s", "x" * 40 + end) for end in ("a", "b", "b")] + [("cs", "s", None)]
     assert run(spark, tmp_path, "texts_by_source", documents=(rows, "lang string, source string, text string")) == [("cs", "s", 4, 2)]
+
+
+def test_position_of_every_part(spark, tmp_path):
+    sizes = [(k, k * 7 % 11) for k in range(1, 301)]
+    got = run(spark, tmp_path, "custom_order_whole", part=(sizes, "p_partkey long, p_size int"))
+    expected = sorted(sizes, key=lambda p: (p[1] % 4, p[0]))
+    labels = ("high", "medium", "low", "none")
+    assert sorted(got, key=lambda r: r[2]) == [(k, labels[n % 4], i + 1) for i, (k, n) in enumerate(expected)]
+    assert run(spark, tmp_path, "custom_order_whole", part=([], "p_partkey long, p_size int")) == []
