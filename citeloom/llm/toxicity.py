@@ -24,8 +24,9 @@ VOCABULARY = 150_000
 EMBEDDING, FILTERS, WIDTHS = 6, 6, (1, 2, 3)
 #: At most about this many labelled documents are used to train and calibrate.
 LABELLED = 12_000
-#: Training takes at most this many documents without the label for each one with it.
-NEGATIVES = 2
+#: Training takes at most this many documents without the label for each one with it, from so many
+#: in 1,000 of them by hash of the identifier. Calibration takes all.
+NEGATIVES, THINNED = 2, 400
 EPOCHS, BATCH, RATE = 6, 48, 0.03
 #: Common words by language, fixed values.
 COMMON = {
@@ -216,23 +217,22 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, limit: int = LABELLED) -> ToxicityModel:
-    """Trains on labelled rows outside fold ``held``: three quarters train, one quarter calibrates.
+    """Trains on labelled rows outside fold ``held``: three quarters train, thinned, and one quarter calibrates, all of it.
 
     The sample of at most ``limit`` documents is gathered as bucket numbers in the driver.
     Without labels of both kinds the model knows nothing and gives one score to all texts.
     """
     sample = labelled(docs, labels, "toxic", folds, held, limit)
-    # all with the label, and NEGATIVES times as many without it at most, by hash of the identifier
     turn = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1000))
-    rows = sample.select("doc_id", "body", "toxic", turn.alias("turn")).filter((F.col("toxic") == 1) | (F.col("turn") < 400))
+    rows = sample.select("doc_id", "body", "toxic", ((F.col("toxic") == 1) | (turn < THINNED)).cast("int").alias("trains"))
 
     def codes(batches):
         import pyarrow as pa
 
         for batch in lean(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array([encode(x).astype(np.uint16).tobytes() for x in batch.column("body").to_pylist()], pa.binary())], names=["doc_id", "toxic", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), batch.column("trains"), pa.array([encode(x).astype(np.uint16).tobytes() for x in batch.column("body").to_pylist()], pa.binary())], names=["doc_id", "toxic", "trains", "codes"])
 
-    got = sorted((r["doc_id"], r["toxic"], bytes(r["codes"])) for r in rows.select("doc_id", "toxic", "body").repartition(FIT_TASKS).mapInArrow(codes, "doc_id long, toxic int, codes binary").collect())
+    got = sorted((r["doc_id"], r["toxic"], bytes(r["codes"]), r["trains"]) for r in rows.select("doc_id", "body", "toxic", "trains").repartition(FIT_TASKS).mapInArrow(codes, "doc_id long, toxic int, trains int, codes binary").collect())
     y = np.array([r[1] for r in got], float)
     docs_codes = [np.frombuffer(r[2], np.uint16).astype(np.int32).reshape(-1, 2) for r in got]
     if not len(y) or y.min() == y.max():
@@ -243,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, limit
     calibrating[turns[: len(y) // 4]] = True
     fitting, negatives = [], 0
     for i in turns[len(y) // 4 :]:
-        if y[i] or negatives < NEGATIVES * y.sum():
+        if y[i] or got[i][3] and negatives < NEGATIVES * y.sum():
             fitting.append(i)
             negatives += not y[i]
     model = train([docs_codes[i] for i in fitting], y[fitting])

@@ -351,6 +351,19 @@ def test_classifiers_on_held_out_rows(spark, odd, empty, module, label, folds, h
     assert len({r["score"] for r in module.score(table, bare).collect()}) == 1
 
 
+def test_toxicity_calibrates_on_all_sampled_documents(spark, monkeypatch):
+    ship(spark)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    calibrated, find, trained, train = [], toxicity.best_threshold, [], toxicity.train
+    monkeypatch.setattr(toxicity, "best_threshold", lambda p, y: calibrated.append(y) or find(p, y))
+    monkeypatch.setattr(toxicity, "train", lambda docs, y: trained.append(y) or train(docs, y))
+    toxicity.fit(table, labels)
+    sampled = [r["toxic"] for r in toxicity.labelled(table, labels, "toxic", 3, 1, toxicity.LABELLED).collect()]
+    assert len(calibrated[0]) == len(sampled) // 4
+    assert (1 - trained[0]).sum() < 0.5 * sampled.count(0)
+
+
 def test_isotonic_is_monotone():
     rng = np.random.default_rng(0)
     x = rng.normal(size=300)
