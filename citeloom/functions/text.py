@@ -96,17 +96,18 @@ def roman(number: Column) -> Column:
     return F.concat(out, *parts)
 
 
-#: Words that say nothing about a law's topic, folded; fixed values.
+#: Words that say nothing about a law's topic, fixed values. Tokens are folded before they meet the
+#: list, so its accented words, which are part of the published list, remove nothing.
 STOPWORDS = frozenset(
-    "aby ale anebo ani bez bude byl byla bylo byly cl clanek dale dle dne ho jak jako jeho jejich jen jeste jsou kde kdy ktera ktere ktery "
-    "nad nebo neni pod podle pokud pri pro proto proti sb tak take tato tedy ten tento teto toho tohoto tom tomto tyto ustanoveni uvedene vsak "
-    "zakon zakona zakone zakonu zakonem ust paragraf odst pism".split()
+    "a ale anebo ani bez by byl byla byly co do i jako je jej jejich jen jsou k která které který mezi na nad nebo o od po pod podle pro při "
+    "s se si tak také to u v ve z za ze zákon zákona zákonem zákoník zákoníku vyhláška vyhlášky nařízení předpis předpisu část hlava oddíl "
+    "odst odstavec písm pism čl cl paragraf sb".split()
 )
 
 
 def tokens(text: Column) -> Column:
     """Folded lower-case words of three characters or more that are no numbers and no stop words."""
-    words = F.regexp_extract_all(F.lower(ascii_fold(text)), F.lit("[a-z0-9]+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(ascii_fold(text)), F.lit("[a-z0-9á-ž]+"), F.lit(0))
     return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.rlike("^[0-9]+$") & ~w.isin(*sorted(STOPWORDS)))
 
 

@@ -62,6 +62,18 @@ def tasks(docs: DataFrame, keys: tuple[str, ...], radius: int = 200) -> DataFram
     return docs.select(*keys, "text").mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "seq int, target string, snippet_start int, snippet string, occurrence int"]))
 
 
+def prefilled(tasks_: DataFrame, occurrences: DataFrame, key: str, force: bool = False) -> DataFrame:
+    """Tasks (key, start, target, law_id, classification) with the labels of the miner's occurrences (key, start, citation_text, law_id, classification) at the same place with the same text.
+
+    Labels that are there stay, but with ``force``. ``filled`` says where a label came from the miner.
+    """
+    mined = occurrences.select(key, "start", F.col("citation_text").alias("target"), F.col("law_id").alias("__law"), F.col("classification").alias("__class")).dropDuplicates([key, "start", "target"])
+    rows = tasks_.join(mined, [key, "start", "target"], "left")
+    fill = F.col("__class").isNotNull() & (F.lit(force) | F.col("classification").isNull())
+    labels = {"law_id": F.when(fill, F.col("__law")).otherwise(F.col("law_id")), "classification": F.when(fill, F.col("__class")).otherwise(F.col("classification"))}
+    return rows.select(*[labels.get(c, F.col(c)).alias(c) for c in tasks_.columns], fill.alias("filled"))
+
+
 def nth_place(text: Column, needle: Column, nth: Column) -> Column:
     """Start of the n-th occurrence (from 1) of a needle that does not overlap itself, or null."""
     pieces = F.split(text, F.concat(F.lit(r"\Q"), needle, F.lit(r"\E")), -1)

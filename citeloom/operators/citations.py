@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import docref, law
 from citeloom.functions import text as T
+from citeloom.operators.work import spread
 
 LAW_FIELDS = [
     ("seq", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("citation_text", pa.string()), ("citation_type", pa.string()), ("number", pa.string()), ("odst", pa.list_(pa.string())), ("pism", pa.list_(pa.string())), ("body", pa.list_(pa.string())),
@@ -23,19 +23,25 @@ SPARK = {pa.int32(): "int", pa.string(): "string", pa.float64(): "double", pa.bo
 Entries = Iterable[tuple[str, Iterable[str], str | None]]
 
 
-def _rows(fields, keys: tuple[str, ...], mine):
-    """mapInArrow function: key columns, then the fields of every row that ``mine(columns)`` gives for a document."""
+def _rows(fields, keys: tuple[str, ...], start):
+    """mapInArrow function: key columns, then the fields of every row that ``start()(columns)`` gives for a document.
+
+    ``start`` is called once a task, so what all its documents share is made once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = start()
         for batch in batches:
-            at, found = [], []
+            at, found, numbers = [], [], []
             names = [n for n in batch.schema.names if n not in keys]
             for k, values in enumerate(zip(*(batch.column(n).to_pylist() for n in names), strict=True)):
-                for seq, row in enumerate(mine(dict(zip(names, values, strict=True)))):
-                    at.append(k)
-                    found.append(row | {"seq": seq})
+                rows = mine(dict(zip(names, values, strict=True)))
+                at += [k] * len(rows)
+                numbers += range(len(rows))
+                found += rows
             arrays = [batch.column(k).take(pa.array(at, pa.int64())) for k in keys]
-            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([r[n] for r in found], kind) for n, kind in fields)], names=[*keys, *(n for n, _ in fields)])
+            made = [pa.array(numbers if n == "seq" else [r[n] for r in found], kind) for n, kind in fields]
+            yield pa.RecordBatch.from_arrays([*arrays, *made], names=[*keys, *(n for n, _ in fields)])
 
     return run
 
@@ -45,37 +51,42 @@ def _schema(docs: DataFrame, keys: tuple[str, ...], fields) -> str:
     return ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"`{n}` {SPARK[t]}" for n, t in fields)])
 
 
-@functools.lru_cache(maxsize=64)
-def _dictionary(entries: tuple) -> law.Dictionary:
-    return law.Dictionary(entries)
-
-
-def law_occurrences(docs: DataFrame, keys: tuple[str, ...], aliases: Entries = (), versions: dict[str, list[str]] | None = None) -> DataFrame:
+def law_occurrences(docs: DataFrame, keys: tuple[str, ...], aliases: Entries = (), versions: dict[str, list[str]] | None = None, fields: tuple[str, ...] | None = None) -> DataFrame:
     """One row per law citation. ``docs`` has ``text`` and may have ``date`` (ISO) and ``declared`` (map of local aliases).
 
     Texts should be normalized; the general dictionary and the versions go to every task with
     the function, so they must be small, as dictionaries are. The document is the unit of work.
+    Only ``fields`` (all where none are named) are made and leave the Python workers.
     """
     general, dates = tuple((a, tuple(laws), mode) for a, laws, mode in aliases), versions or {}
+    wanted = LAW_FIELDS if fields is None else [f for f in LAW_FIELDS if f[0] in fields]
+    listed = any(n == "candidates" for n, _ in wanted)
+
+    def start():
+        everyone, nobody = law.Dictionary(general), law.Dictionary(())
+
+        def mine(doc: dict) -> list[dict]:
+            declared = doc.get("declared")
+            local = law.Dictionary((a, (x,), None) for a, x in declared) if declared else nobody
+            return law.occurrences(doc["text"] or "", local, everyone, doc.get("date"), dates, listed)
 
-    def mine(doc: dict) -> list[dict]:
-        local = tuple((a, (x,), None) for a, x in (doc.get("declared") or ()))
-        return law.occurrences(doc["text"] or "", _dictionary(local), _dictionary(general), doc.get("date"), dates)
+        return mine
 
-    wanted = [c for c in (*keys, "text", "date", "declared") if c in docs.columns]
-    return docs.select(*wanted).mapInArrow(_rows(LAW_FIELDS, keys, mine), _schema(docs, keys, LAW_FIELDS))
+    read = [c for c in (*keys, "text", "date", "declared") if c in docs.columns]
+    return spread(docs.select(*read)).mapInArrow(_rows(wanted, keys, start), _schema(docs, keys, wanted))
 
 
 def document_references(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """One row per reference to another decision in ``text``."""
-    return docs.select(*keys, "text").mapInArrow(_rows(REF_FIELDS, keys, lambda d: docref.references(d["text"] or "")), _schema(docs, keys, REF_FIELDS))
+    start = lambda: lambda d: docref.references(d["text"] or "")
+    return spread(docs.select(*keys, "text")).mapInArrow(_rows(REF_FIELDS, keys, start), _schema(docs, keys, REF_FIELDS))
 
 
 def declared_aliases(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(keys, seq, alias, law_id): what documents declare as short names."""
     fields = [("seq", pa.int32()), ("alias", pa.string()), ("law_id", pa.string())]
-    mine = lambda d: [dict(alias=a, law_id=x) for a, x in law.declared_aliases(d["text"] or "").items()]
-    return docs.select(*keys, "text").mapInArrow(_rows(fields, keys, mine), _schema(docs, keys, fields))
+    start = lambda: lambda d: [dict(alias=a, law_id=x) for a, x in law.declared_aliases(d["text"] or "").items()]
+    return spread(docs.select(*keys, "text")).mapInArrow(_rows(fields, keys, start), _schema(docs, keys, fields))
 
 
 def law_anchors(docs: DataFrame, *keys: str) -> DataFrame:

@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citeloom.operators.work import Kept
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows from a file in the session's checkpoint folder, so that loops have short plans and survive lost executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="citeloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Edges that one task can label by itself (16 bytes each).
+ONE_TASK = 2_000_000
 
 
 def collapsed(edges: DataFrame) -> DataFrame:
@@ -47,38 +41,82 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20, tolerance:
     Stops after ``rounds`` or when the ranks move less than ``tolerance`` in sum. Only sums
     reach the driver; each round is kept in the checkpoint folder.
     """
-    pairs = kept(collapsed(edges.filter("src <> tgt")))
-    nodes = kept(edges.select(F.col("src").alias("node")).union(edges.select("tgt")).distinct())
+    kept = Kept(edges.sparkSession)
+    nodes = kept.write(edges.select(F.col("src").alias("node")).union(edges.select("tgt")).distinct())
     n = nodes.count()
     if n == 0:
         return nodes.withColumn("rank", F.lit(0.0))
-    shares = kept(pairs.join(pairs.groupBy("src").agg(F.sum("weight").alias("total")), "src").select("src", "tgt", (F.col("weight") / F.col("total")).alias("share")))
-    sinks = nodes.join(shares.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    files = max(1, n // ROWS_A_FILE)
+    pairs = collapsed(edges.filter("src <> tgt"))
+    shares = kept.write(pairs.join(pairs.groupBy("src").agg(F.sum("weight").alias("total")), "src").select("src", "tgt", (F.col("weight") / F.col("total")).alias("share")))
+    sources = shares.select(F.col("src").alias("node")).distinct().withColumn("flows", F.lit(True))
+    ranks = kept.write(nodes.join(sources, "node", "left").select("node", F.lit(1.0 / n).alias("rank"), F.coalesce("flows", F.lit(False)).alias("flows")), files)
+    total = {"lost": F.coalesce(F.sum(F.when(~F.col("flows"), F.col("rank"))), F.lit(0.0)), "moved": F.lit(0.0), "all": F.sum("rank")}
+    state = ranks.agg(*[c.alias(k) for k, c in total.items()]).first()
+    total["moved"] = F.sum(F.abs(F.col("rank") - F.col("old")))
     for _ in range(rounds):
-        lost = ranks.join(sinks, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        flow = shares.join(ranks.withColumnRenamed("node", "src"), "src").groupBy(F.col("tgt").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = kept(nodes.join(flow, "node", "left").select("node", (F.lit((1 - alpha) / n + alpha * lost / n) + alpha * F.coalesce("got", F.lit(0.0))).alias("rank")))
-        moved = None if tolerance is None else new.join(ranks.withColumnRenamed("rank", "old"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        ranks = new
-        if moved is not None and moved < tolerance:
+        flow = shares.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("tgt").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        new = ranks.join(flow, "node", "left").select("node", F.col("rank").alias("old"), (F.lit((1 - alpha) / n + alpha * state["lost"] / n) + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"), "flows")
+        old, ranks = ranks, kept.write(new, files)
+        state = ranks.agg(*[c.alias(k) for k, c in total.items()]).first()
+        kept.drop(old)
+        if tolerance is not None and state["moved"] < tolerance:
             break
-    total = ranks.agg(F.sum("rank")).first()[0]
-    return ranks.select("node", (F.col("rank") / total).alias("rank"))
+    return ranks.select("node", (F.col("rank") / state["all"]).alias("rank"))
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component): smallest node reachable without regard to direction; nodes without edges stand alone."""
-    both = kept(edges.select(F.col("src").alias("v"), F.col("tgt").alias("u")).union(edges.select("tgt", "src")).filter("v <> u").distinct())
-    labels = kept(nodes.select(F.col("node").alias("v"), F.col("node").alias("c")).distinct())
+#: Rows of a file of a small table in a loop.
+ROWS_A_FILE = 1_000_000
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, c) of all ends of the edges (v, u) of one task: the smallest end each reaches."""
+    ends = [np.empty((0, 2), np.int64)] + [np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("v", "u")], 1) for b in batches]
+    nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+    at, label = at.reshape(-1, 2), np.arange(len(nodes))
     while True:
-        near = both.join(labels.select(F.col("v").alias("u"), "c"), "u").groupBy("v").agg(F.min("c").alias("low"))
-        low = labels.join(near, "v", "left").select("v", F.col("c").alias("was"), F.least("c", F.coalesce("low", "c")).alias("c"))
-        jump = labels.select(F.col("v").alias("c"), F.col("c").alias("top"))
-        new = kept(low.join(jump, "c", "left").select("v", "was", F.coalesce("top", "c").alias("c")))
-        labels = new.select("v", "c")
-        if not new.filter("c <> was").take(1):
-            return labels.select(F.col("v").alias("node"), F.col("c").alias("component"))
+        low = label.copy()
+        smaller = np.minimum(label[at[:, 0]], label[at[:, 1]])
+        for side in (0, 1):
+            np.minimum.at(low, at[:, side], smaller)
+            np.minimum.at(low, label[at[:, side]], smaller)
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["v", "c"])
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component): smallest node reachable without regard to direction; nodes without edges stand alone. Nodes are integers.
+
+    Each round every node goes to the first of itself and its neighbours in an order that a hash
+    deals anew, and edges go along, so a fixed share of the nodes is expected to go, in chains and
+    stars alike. When the edges left fit one task, it labels them, and the labels are handed back
+    round by round.
+    """
+    kept = Kept(edges.sparkSession)
+    v, u = F.col("src").cast("long"), F.col("tgt").cast("long")
+    now = kept.write(edges.select(F.least(v, u).alias("v"), F.greatest(v, u).alias("u")).filter("v <> u").distinct())
+    moves: list[DataFrame] = []
+    while now.count() > ONE_TASK:
+        ends = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        order = F.struct(F.xxhash64("u", F.lit(len(moves))), "u")
+        move = kept.write(ends.unionByName(ends.select("v", F.col("v").alias("u"))).groupBy("v").agg(F.min_by("u", order).alias("c")))
+        a, b = move.select("v", F.col("c").alias("a")), move.select(F.col("v").alias("u"), F.col("c").alias("b"))
+        new = kept.write(now.join(a, "v").join(b, "u").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).filter("v <> u").distinct())
+        kept.drop(now)
+        now = new
+        moves.append(move)
+    labels = now.repartition(1).mapInArrow(_labelled, "v long, c long")
+    for move in reversed(moves):
+        labels = kept.write(move.join(labels.select(F.col("v").alias("c"), F.col("c").alias("top")), "c", "left").select("v", F.coalesce("top", "c").alias("c")))
+    if moves:  # the node that stands for a component is its first by the hashes, not the smallest
+        smallest = labels.groupBy("c").agg(F.min("v").alias("least"))
+        labels = labels.join(smallest, "c").select("v", F.col("least").alias("c"))
+    kind = dict(nodes.dtypes)["node"]
+    named = nodes.select("node").distinct().join(labels.withColumnRenamed("v", "node"), "node", "left")
+    return named.select("node", F.coalesce("c", "node").cast(kind).alias("component"))
 
 
 def ego(edges: DataFrame, sources: int = 10, targets: int = 4) -> DataFrame:
@@ -96,3 +134,9 @@ def edges_of(spark: SparkSession, links: DataFrame, documents: DataFrame) -> Dat
     b = documents.select(F.col("document_id").alias("target_document"), F.col("date").alias("target_date"))
     return links.join(a, "source_document", "left").join(b, "target_document", "left").withColumn("is_same_proceeding", F.col("target_scope") == "same_proceeding")
 
+
+
+def scope_summary(links: DataFrame, source: str) -> DataFrame:
+    """(scope, total, citing, cited) of links that touch a source: all, those from it and those to it, by scope."""
+    citing, cited = F.col("source_source") == source, F.col("target_source") == source
+    return links.filter(citing | cited).groupBy(F.col("target_scope").alias("scope")).agg(F.count(F.lit(1)).alias("total"), F.count_if(citing).alias("citing"), F.count_if(cited).alias("cited"))

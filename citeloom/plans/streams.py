@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeloom.catalog import query, table
-from citeloom.operators.graph import kept
+from citeloom.operators.work import shared_dir
 from citeloom.sources import sinks
 from citeloom.streaming import ingest as S
 
@@ -18,8 +18,7 @@ SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_event FROM eve
 """)
 def stream_ingest_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    kept(events.limit(0))  # sets the shared folder where the session names none
-    target = f"{spark.conf.get('spark.checkpoint.dir')}/ingest-{uuid.uuid4().hex}"
+    target = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
     for _ in range(2):  # the second run finds nothing new
         S.ingest(spark, stream, lambda df: df.select("event_id", "user_id", "event_type"), target, ("event_id",), f"{target}/checkpoint")
@@ -33,3 +32,14 @@ SELECT o_orderkey::VARCHAR AS id, coalesce(CASE WHEN o_custkey % 2 = 0 THEN o_or
 def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderstatus")).alias("status"), F.array("o_orderpriority").alias("labels"))
     return sinks.csv_ready(rows)
+
+
+@query("""
+SELECT 'now' AS version, o_orderkey, o_orderstatus AS status FROM orders UNION ALL SELECT 'before', o_orderkey, o_orderpriority FROM orders
+""")
+def stage_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, orders = f"{shared_dir(spark)}/stages-{uuid.uuid4().hex}", table(spark, sf_dir, "orders")
+    S.rerun(spark, root, "laws", lambda: orders.select("o_orderkey", F.col("o_orderpriority").alias("status")))
+    aside = S.rerun(spark, root, "laws", lambda: orders.select("o_orderkey", F.col("o_orderstatus").alias("status")))
+    now, before = spark.read.parquet(f"{root}/laws"), spark.read.parquet(aside)
+    return now.select(F.lit("now").alias("version"), "*").unionByName(before.select(F.lit("before").alias("version"), "*"))

@@ -33,7 +33,7 @@ _STOP = ", ".join(f"'{w}'" for w in sorted(T.STOPWORDS))
 
 
 @query(f"""
-WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower({_FOLD}), '[a-z0-9]+'), lambda x: length(x) >= 3 AND NOT regexp_full_match(x, '[0-9]+') AND x NOT IN ({_STOP})) AS t FROM documents)
+WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower({_FOLD}), '[a-z0-9á-ž]+'), lambda x: length(x) >= 3 AND NOT regexp_full_match(x, '[0-9]+') AND x NOT IN ({_STOP})) AS t FROM documents)
 SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, sha256(array_to_string(t, ' ')) AS tokens_hash FROM w
 """)
 def topic_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

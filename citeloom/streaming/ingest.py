@@ -6,12 +6,24 @@ stream reads what is there and stops; running it again takes only what came sinc
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _path(spark: SparkSession, name: str):
+    """(path, its file system) of a name."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    path, files = _path(spark, name)
+    return files.exists(path)
+
+
 def ingest(spark: SparkSession, source: DataFrame, mine: Callable[[DataFrame], DataFrame], target: str, keys: tuple[str, ...], checkpoint: str) -> None:
     """Mines a streaming ``source`` into ``<target>/rows`` and records its documents in ``<target>/done``.
 
@@ -21,12 +33,9 @@ def ingest(spark: SparkSession, source: DataFrame, mine: Callable[[DataFrame], D
 
     def batch(df: DataFrame, batch_id: int) -> None:
         fresh = df.dropDuplicates(list(keys))
-        try:
+        if exists(spark, f"{target}/done"):
             done = spark.read.parquet(f"{target}/done").filter(F.col("batch") != batch_id)
             fresh = fresh.join(done.select(*keys), list(keys), "left_anti")
-        except Exception as error:  # the first batch finds no done-table
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
         mine(fresh).write.mode("overwrite").parquet(f"{target}/rows/batch={batch_id}")
         fresh.select(*keys).write.mode("overwrite").parquet(f"{target}/done/batch={batch_id}")
 
@@ -34,6 +43,42 @@ def ingest(spark: SparkSession, source: DataFrame, mine: Callable[[DataFrame], D
     query.awaitTermination()
 
 
+def rerun(spark: SparkSession, root: str, stage: str, make: Callable[[], DataFrame]) -> str:
+    """Runs one stage again: its rows go to ``<root>/<stage>``, older ones to ``<root>/<stage>.before-<n>``; the manifest says so.
+
+    The new rows are written beside the old ones first, so a failed run changes nothing. Returns
+    the folder of the older rows, or "" where there were none.
+    """
+    target, fresh = f"{root}/{stage}", f"{root}/{stage}.new"
+    make().write.mode("overwrite").parquet(fresh)
+    aside = ""
+    if exists(spark, target):
+        n = 1
+        while exists(spark, f"{target}.before-{n}"):
+            n += 1
+        aside = f"{target}.before-{n}"
+        _move(spark, target, aside)
+    _move(spark, fresh, target)
+    entries = manifest(spark, root) | {stage: {"rows": spark.read.parquet(target).count(), "before": aside.rpartition("/")[2]}}
+    path, files = _path(spark, f"{root}/manifest.json")
+    out = files.create(path, True)
+    out.write(bytearray(json.dumps(entries, sort_keys=True).encode()))
+    out.close()
+    return aside
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    path, files = _path(spark, source)
+    if not files.rename(path, _path(spark, target)[0]):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
+def manifest(spark: SparkSession, root: str) -> dict:
+    """What ``rerun`` wrote about the stages of a folder."""
+    name = f"{root}/manifest.json"
+    return json.loads("".join(r[0] for r in spark.read.text(name, wholetext=True).collect())) if exists(spark, name) else {}
+
+
 def finalized(rows: DataFrame, entry: str, order: list[str]) -> DataFrame:
     """One row per entry, the first by a total order; rows without an entry are kept once each."""
     from citeloom.operators.citations import first_of_each
