@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import law
 from citeloom.functions import text as T
+from citeloom.operators.work import per_document
 
 #: Characters between footnotes of one page, and from the last one to its end; fixed value.
 FOOTER_GAP = 600
+NOTE = re.compile(r"^\s*(\d+)(?!\.)\s+.*$", re.M)
 
 
 # --- gold ---
@@ -128,10 +130,10 @@ def cropped_footers(pages: DataFrame, document: str) -> DataFrame:
     near the end of the page. A document's pages are one group, in order.
     """
 
-    def crop(pdf: pd.DataFrame) -> pd.DataFrame:
+    def crop(pages_: list[tuple]) -> list[tuple]:
         last, out = 0, []
-        for r in pdf.sort_values("page").itertuples(index=False):
-            text, notes = r.text or "", [(m.start(), m.end(), int(m[1])) for m in re.finditer(r"^\s*(\d+)(?!\.)\s+.*$", r.text or "", re.M)]
+        for page, text in pages_:
+            notes = [(m.start(), m.end(), int(m[1])) for m in NOTE.finditer(text)]
             for i, note in enumerate(notes):
                 if note[2] != last + 1:
                     continue
@@ -144,10 +146,11 @@ def cropped_footers(pages: DataFrame, document: str) -> DataFrame:
                 if len(text) - chain[-1][1] < FOOTER_GAP:
                     text, last = text[: note[0]].rstrip(), chain[-1][2]
                     break
-            out.append((getattr(r, document), r.page, text))
-        return pd.DataFrame(out, columns=[document, "page", "text"])
+            out.append((page, text))
+        return out
 
-    return pages.select(document, "page", "text").groupBy(document).applyInPandas(crop, f"{document} {dict(pages.dtypes)[document]}, page int, text string")
+    rows = pages.select(document, F.col("page").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    return per_document(rows, document, ["page", "text"], [("page", "int"), ("text", "string")], crop)
 
 
 # --- selection ---

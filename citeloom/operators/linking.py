@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from citeloom.functions import docref
 from citeloom.functions import text as T
-from citeloom.operators.work import spread
+from citeloom.operators.work import Kept, spread
 
 #: Sources of the antitrust office, whose numbers have forms of their own, and of the constitutional court.
 OFFICE, CONSTITUTIONAL = "uohs", "nalus"
@@ -34,10 +34,9 @@ class Body:
 
 
 def _with_body(body: Column, then: Callable[[Body], Column]) -> Column:
-    """``then`` of a body whose forms are made once, however often they are used."""
+    """``then`` of a body's forms. They are plain expressions, of which Spark evaluates equal ones once; a lambda would leave compiled code."""
     plain = T.squeeze(body)
-    upper = F.regexp_replace(F.translate(F.upper(T.ascii_fold(plain)), "–—_", "--/"), r"(?U)\s+", "")
-    return F.get(F.transform(F.array(F.struct(plain.alias("plain"), upper.alias("upper"))), lambda b: then(Body(b["plain"], b["upper"]))), F.lit(0))
+    return then(Body(plain, F.regexp_replace(F.translate(F.upper(T.ascii_fold(plain)), "–—_", "--/"), r"(?U)\s+", "")))
 
 
 def _year4(year: Column) -> Column:
@@ -153,21 +152,21 @@ PROCEEDING_STEP = "body_uohs_same_proceeding"
 NEAR_STEPS = (PROCEEDING_STEP, "body_uohs_vz_short_decision")
 
 
-def reference_ladder(body: Column) -> Column:
-    """array<struct<step, method, key>> of a reference, each key once; empty for cut-off bodies."""
+def ladder_keys(body: Column) -> Column:
+    """The key of a reference for each step, "" where it has none; no keys at all for cut-off bodies."""
 
-    def steps(b: Body) -> Column:
-        keys = F.array(*[F.coalesce(key(b), F.lit("")) for _, key in LADDER])
-        empty = F.array().cast("array<string>")
-        return F.when(b.plain.rlike(r"[-–—/:]$") | (b.plain == ""), empty).otherwise(keys)
+    def keys(b: Body) -> Column:
+        made = F.array(*[F.coalesce(key(b), F.lit("")) for _, key in LADDER])
+        return F.when(b.plain.rlike(r"[-–—/:]$") | (b.plain == ""), F.array().cast("array<string>")).otherwise(made)
 
-    names = F.array(*map(F.lit, STEPS))
+    return _with_body(body, keys)
 
-    def once(keys: Column) -> Column:
-        rows = F.transform(keys, lambda k, i: F.struct(i.alias("step"), F.get(names, i).alias("method"), k.alias("key")))
-        return F.filter(rows, lambda s: (s["key"] != "") & (F.array_position(keys, s["key"]) == s["step"] + 1))
 
-    return F.get(F.transform(F.array(_with_body(body, steps)), once), F.lit(0))
+def ladder_steps(keys: Column) -> Column:
+    """array<struct<step, method, key>> of ``ladder_keys``, each key once. ``keys`` should be a column, not an expression."""
+    names = F.array(*map(F.lit, STEPS))
+    rows = F.transform(keys, lambda k, i: F.struct(i.alias("step"), F.get(names, i).alias("method"), k.alias("key")))
+    return F.filter(rows, lambda s: (s["key"] != "") & (F.array_position(keys, s["key"]) == s["step"] + 1))
 
 
 # --- identifiers of documents ---
@@ -282,7 +281,8 @@ def identifier_index(identifiers: DataFrame) -> DataFrame:
 
 def laddered(refs: DataFrame) -> DataFrame:
     """References (ref_id, source, document_id, body) with one row for each step of their ladder: step, method, key."""
-    return spread(refs.select("ref_id", "source", "document_id", "body")).select("*", F.explode(reference_ladder(F.col("body"))).alias("s")).select("ref_id", "source", "document_id", "body", "s.*")
+    keyed = spread(refs.select("ref_id", "source", "document_id", "body")).withColumn("keys", ladder_keys(F.col("body")))
+    return keyed.select("ref_id", "source", "document_id", "body", F.explode(ladder_steps(F.col("keys"))).alias("s")).select("ref_id", "source", "document_id", "body", "s.*")
 
 
 def _lanes(index: DataFrame) -> DataFrame:
@@ -316,7 +316,8 @@ def link(refs: DataFrame, index: DataFrame) -> DataFrame:
     document, decides; the proceeding step needs one proceeding. References of the office that
     no step links fall back to another document of their proceeding, else to the citing document.
     """
-    lanes = _lanes(index)
+    kept = Kept(refs.sparkSession)
+    lanes = kept.write(_lanes(index))  # read by several joins, so the identifiers' keys are made once
     steps = laddered(refs).withColumn("lane", F.when(F.col("method") == PROCEEDING_STEP, 1).otherwise(0))
     met = steps.join(_by_key(lanes), ["lane", "key"]).join(_own(lanes), ["lane", "key", "source", "document_id"], "left")
     own = F.coalesce("own", F.lit(0))
@@ -329,6 +330,9 @@ def link(refs: DataFrame, index: DataFrame) -> DataFrame:
     method = F.when(copies, F.concat("x.method", F.lit("_canonical_document"))).otherwise(F.col("x.method"))
     scope = F.when(F.col("x.method").isin(*NEAR_STEPS), "same_proceeding").otherwise("exact_decision")
     decided = first.select("ref_id", F.col("x.best.t_source").alias("target_source"), F.col("x.best.t_document_id").alias("target_document_id"), method.alias("link_method"), F.col("x.key").alias("link_key"), scope.alias("target_scope"), F.col("x.documents").alias("group_size"))
+    if not refs.filter(F.col("source") == OFFICE).take(1):
+        return decided
+    decided = kept.write(decided)
     return decided.unionByName(same_proceeding(refs.join(decided, "ref_id", "left_anti"), lanes))
 
 
@@ -400,6 +404,7 @@ def candidate_targets(refs: DataFrame, index: DataFrame, most: int = LISTED, ide
     preferred source, with step -1 and a score. A key gives ``most`` groups and one more, as the citing document's
     own may fall away, so a key of very many documents costs a reference no more than that.
     """
+    index = Kept(refs.sparkSession).write(index)
     group = index.groupBy("key", "t_group").agg(F.min(F.struct("t_pref", "t_source", "t_document_id")).alias("t"), F.min_by(F.struct("t_source", "t_document_id"), "t_pref").alias("best"))
     second = index.join(group.select("key", "t_group", F.col("best").alias("__b")), ["key", "t_group"]).filter(F.struct("t_source", "t_document_id") != F.col("__b")).groupBy("key", "t_group").agg(F.min(F.struct("t_pref", "t_source", "t_document_id")).alias("t2"))
     listed = group.join(second, ["key", "t_group"], "left").withColumn("__r", F.row_number().over(W.partitionBy("key").orderBy("t"))).filter(F.col("__r") <= most + 1)

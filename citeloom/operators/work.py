@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Inputs of fewer bytes a core are dealt anew before costly work; larger ones have enough splits of their own.
 SMALL = 128 << 20
@@ -53,3 +56,24 @@ class Kept:
         for t in tables:
             path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._kept_at)
             path.getFileSystem(conf).delete(path, True)
+
+
+def per_document(rows: DataFrame, document: str, columns: list[str], out: list[tuple[str, str]], fold: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
+    """(document, out columns): ``fold`` of each document's rows, which come as tuples of ``columns`` in their order.
+
+    A document's rows are one list, as they are bounded by its length; many documents share an
+    Arrow batch, so small ones cost no round trip each. ``out`` has names and Spark types.
+    """
+    held = rows.groupBy(document).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rows"))
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, made = [], []
+            for k, own in enumerate(batch.column("rows").to_pylist()):
+                new = fold([tuple(r.values()) for r in own])
+                at += [k] * len(new)
+                made += new
+            yield pa.RecordBatch.from_arrays([batch.column(document).take(pa.array(at, pa.int64())), *(pa.array([m[i] for m in made], kinds[t]) for i, (_, t) in enumerate(out))], names=[document, *(n for n, _ in out)])
+
+    return held.mapInArrow(run, ", ".join([f"`{document}` {dict(rows.dtypes)[document]}", *(f"`{n}` {t}" for n, t in out)]))

@@ -12,7 +12,7 @@ def _load() -> None:
         import_module(f"citeloom.plans.{name}")
 
 
-MODULES: tuple[str, ...] = ("texts", "laws", "links", "relations", "tables", "reviews", "streams", "annotations", "reports", "cleaning")
+MODULES: tuple[str, ...] = ("texts", "laws", "links", "relations", "tables", "reviews", "streams", "annotations", "reports", "cleaning", "sources")
 
 
 def queries() -> dict:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeloom.catalog import query, table
 from citeloom.operators import annotation as N
+from citeloom.operators import citations as C
 
 
 @query("""
@@ -19,11 +20,11 @@ def gold_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, v.target, v.occurrence FROM orders, (VALUES ('§ 1', 1), ('§ 1', 2), ('čl. 3', 1)) v(target, occurrence)
+SELECT o_orderkey, replace(v.target, '{n}', (o_custkey % 300 + 1)::VARCHAR) AS target, v.occurrence FROM orders, (VALUES ('§ {n}', 1), ('§ {n}', 2), ('čl. 3{n}', 1)) v(target, occurrence)
 """)
 def annotation_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("Podle § 1 a znovu § 1 i čl. 3 platí").alias("text"))
-    return N.tasks(docs, ("o_orderkey",)).select("o_orderkey", "target", "occurrence")
+    text = F.replace(F.lit("Podle § {n} a znovu § {n} i čl. 3{n} platí"), F.lit("{n}"), (F.col("o_custkey") % 300 + 1).cast("string"))
+    return N.tasks(table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")), ("o_orderkey",)).select("o_orderkey", "target", "occurrence")
 
 
 @query("""
@@ -92,30 +93,85 @@ def not_in_corpus_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.not_in_corpus_audit(refs, links, fuzzy).select("ref_id", "suspicion")
 
 
-@query("""
-SELECT * FROM (VALUES ('ns', 1, 3), ('ns', 2, 1), ('uohs', 1, 4)) t(source, position, document_id)
+_FEATURES = "list_filter(['l' || lang, CASE WHEN length(text) > 2000 THEN 'long' END, CASE WHEN position(chr(10) IN text) > 0 THEN 'lines' END, CASE WHEN regexp_matches(text, '[0-9]') THEN 'digits' END], lambda f: f IS NOT NULL)"
+
+
+@query(f"""
+WITH d AS (SELECT source, doc_id, length(text)::DOUBLE AS score, {_FEATURES} AS f FROM documents),
+a AS (SELECT source, doc_id, f FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY len(f) DESC, score DESC, doc_id) AS r FROM d) WHERE r = 1),
+b AS (SELECT source, doc_id FROM (SELECT d.*, row_number() OVER (PARTITION BY d.source ORDER BY len(list_filter(d.f, lambda x: NOT list_contains(a.f, x))) DESC, d.score DESC, d.doc_id) AS r FROM d JOIN a ON a.source IS NOT DISTINCT FROM d.source WHERE d.doc_id <> a.doc_id) WHERE r = 1)
+SELECT source, 1 AS position, doc_id AS document_id FROM a UNION ALL SELECT source, 2, doc_id FROM b
 """)
 def greedy_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "region")
-    docs = [("ns", 1, 5.0, ["a"]), ("ns", 2, 9.0, ["b"]), ("ns", 3, 4.0, ["b", "c"]), ("uohs", 4, 1.0, [])]
-    return N.greedy_coverage(spark.createDataFrame(docs, "source string, document_id int, score double, features array<string>"), "source", 2)
+    text = F.col("text")
+    names = F.array(F.concat(F.lit("l"), "lang"), F.when(F.length(text) > 2000, "long"), F.when(F.position(F.lit("\n"), text) > 0, "lines"), F.when(text.rlike("[0-9]"), "digits"))
+    docs = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("document_id"), F.length(text).cast("double").alias("score"), F.array_compact(names).alias("features"))
+    return N.greedy_coverage(docs, "source", 2)
 
 
 @query("""
-SELECT * FROM (VALUES (1, 1, 'body one'), (1, 2, 'body two 3 x'), (2, 1, 'no notes')) t(doc, page, text)
+SELECT o_orderkey AS doc, 1 AS page, concat('body ', o_custkey) AS text FROM orders UNION ALL SELECT o_orderkey, 2, concat('body two ', o_custkey, ' x') FROM orders UNION ALL SELECT o_orderkey, 3, concat('no notes', chr(10), '9 other') FROM orders
 """)
 def footer_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "region")
-    pages = [(1, 1, "body one\n1 first note\n2 second note"), (1, 2, "body two 3 x\n3 third note"), (2, 1, "no notes")]
-    return N.cropped_footers(spark.createDataFrame(pages, "doc int, page int, text string"), "doc")
+    n = F.col("o_custkey").cast("string")
+    pages = F.array(F.concat(F.lit("body "), n, F.lit("\n1 first note\n2 second note")), F.concat(F.lit("body two "), n, F.lit(" x\n3 third note")), F.lit("no notes\n9 other"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.posexplode(pages).alias("at", "text"))
+    return N.cropped_footers(rows.select("doc", (F.col("at") + 1).alias("page"), "text"), "doc")
+
+
+#: Passages by o_orderkey % 4 with {n} for a number: passage, text, offset that was told.
+_REPAIRS = (("{n}abc", "{n}ab", 0), ("xxx {n}abc", "{n}abc", 0), ("{n} {n} {n}", "{n}", 7), ("abc{n}", "zz", 0))
 
 
 @query("""
-SELECT * FROM (VALUES (1, 10, 'exact'), (2, 14, 'unique'), (3, 13, 'nearest'), (4, NULL, 'not_found')) t(id, start_char, status)
+SELECT o_orderkey, CASE k WHEN 0 THEN 10 WHEN 1 THEN 14 WHEN 2 THEN 10 + l + 1 END AS start_char, CASE k WHEN 0 THEN 'exact' WHEN 1 THEN 'unique' WHEN 2 THEN 'nearest' ELSE 'not_found' END AS status
+FROM (SELECT o_orderkey, o_orderkey % 4 AS k, length((o_custkey % 9000 + 10000)::VARCHAR) AS l FROM orders)
 """)
 def offset_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "region")
-    rows = [(1, "abc", 10, "ab", 0), (2, "xxx abc", 10, "abc", 0), (3, "ab ab ab", 10, "ab", 4), (4, "abc", 10, "zz", 0)]
-    return N.repaired_offsets(spark.createDataFrame(rows, "id int, passage string, passage_start int, exact_text string, start_offset int")).select("id", "start_char", "status")
+    k, n = (F.col("o_orderkey") % 4).cast("int"), (F.col("o_custkey") % 9000 + 10000).cast("string")
 
+    def case(i: int):
+        return F.get(F.array(*[F.lit(r[i]) for r in _REPAIRS]), k)
 
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.replace(case(0), F.lit("{n}"), n).alias("passage"), F.lit(10).alias("passage_start"), F.replace(case(1), F.lit("{n}"), n).alias("exact_text"), case(2).alias("start_offset"))
+    return N.repaired_offsets(rows).select("o_orderkey", "start_char", "status")
+
+
+_MINED = "(SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 THEN '7/2007 Sb.' END AS given, concat(o_custkey % 900 + 1, '/2001 Sb.') AS mined FROM orders)"
+
+
+@query(f"""
+SELECT o_orderkey, coalesce(given, mined) AS law_id, 'czech_resolved' AS classification, given IS NULL AS filled FROM {_MINED}
+""")
+def prefilled_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("Podle § 5 zákona č. "), (F.col("o_custkey") % 900 + 1).cast("string"), F.lit("/2001 Sb."))
+    docs = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"), F.when(F.col("o_custkey") % 3 == 0, "7/2007 Sb.").alias("given"))
+    done = F.when(F.col("given").isNotNull(), "czech_resolved")
+    tasks = docs.select("o_orderkey", F.lit(6).alias("start"), F.lit("§ 5").alias("target"), F.col("given").alias("law_id"), done.alias("classification"))
+    mined = C.law_occurrences(docs, ("o_orderkey",), fields=("start", "citation_text", "law_id", "classification"))
+    return N.prefilled(tasks, mined, "o_orderkey").select("o_orderkey", "law_id", "classification", "filled")
+
+
+@query("""
+SELECT o_custkey AS document_id, o_orderkey % 3 AS number, count(*) > 0 AS kept FROM orders GROUP BY ALL
+""")
+def gold_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = (F.col("o_orderkey") % 3).cast("string")
+    none = F.lit(None).cast("string")
+    gold = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("document_id"), "o_orderkey", ((F.col("o_orderkey") % 3) * 40).alias("start_char"), F.concat(F.lit("podle § "), k).alias("citation_text"), F.lit("section").alias("citation_type"), F.lit("czech_unresolved").alias("classification"),
+        none.alias("law_id"), k.alias("detail_number"), none.alias("detail_odst"), none.alias("detail_pism"),
+    )
+    return N.distinct_gold(gold, ["o_orderkey"]).select("document_id", F.col("detail_number").cast("long").alias("number"), F.lit(True).alias("kept"))
+
+
+@query("""
+SELECT v.variant, (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0 AND v.a OR o_orderkey % 2 = 1 AND v.b) AS resolved FROM (VALUES ('full', true, true), ('without_global', false, true), ('without_seed', true, false)) v(variant, a, b)
+""")
+def resolver_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit("podle § "), (F.col("o_custkey") % 300 + 1).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, " ZOHS").otherwise(" tr. ř."))
+    docs = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    layers = {"global": [("ZOHS", ["143/2001 Sb."], None)], "seed": [("tr. ř.", ["141/1961 Sb."], None)]}
+    runs = N.ablations(lambda aliases: C.law_occurrences(docs, ("o_orderkey",), aliases, fields=("law_id",)), layers)
+    parts = [df.agg(F.count("law_id").alias("resolved")).select(F.lit(name).alias("variant"), "resolved") for name, df in runs.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

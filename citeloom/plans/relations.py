@@ -22,22 +22,12 @@ def metadata_fallback_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.with_fallback(left, right, "k1", "k2", "name").select("c_custkey", "name")
 
 
-@query("""
-WITH v AS (SELECT DISTINCT l_suppkey % 50 AS law, CAST(l_shipdate AS DATE)::VARCHAR AS since FROM lineitem WHERE l_orderkey % 7 = 0)
-SELECT o_orderkey, (SELECT max(since) FROM v WHERE v.law = o_custkey % 50 AND since <= CAST(o_orderdate AS DATE)::VARCHAR) AS version FROM orders
-""")
-def asof_law_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    versions = table(spark, sf_dir, "lineitem").filter("l_orderkey % 7 = 0").select((F.col("l_suppkey") % 50).alias("law"), F.to_date("l_shipdate").cast("string").alias("since")).distinct().withColumn("version", F.col("since"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("law"), F.to_date("o_orderdate").cast("string").alias("at"))
-    return J.as_of(orders, versions, "law", "at", "since", "version").select("o_orderkey", "version")
-
-
 @query("""
 WITH v AS (SELECT DISTINCT l_suppkey % 50 AS law, CAST(l_shipdate AS DATE)::VARCHAR AS since FROM lineitem),
 o AS (SELECT o_orderkey, o_custkey % 50 AS law, CAST(o_orderdate AS DATE)::VARCHAR AS at FROM orders)
 SELECT o_orderkey, since AS version FROM o ASOF LEFT JOIN v ON o.law = v.law AND o.at >= v.since
 """)
-def asof_law_version_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def asof_law_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("law"), F.to_date("l_shipdate").cast("string").alias("since")).distinct().withColumn("version", F.col("since"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("law"), F.to_date("o_orderdate").cast("string").alias("at"))
     return J.as_of(orders, versions, "law", "at", "since", "version").select("o_orderkey", "version")
@@ -148,30 +138,37 @@ def overlay_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.overlay(base, new, "o_orderkey", ["price", "label"])
 
 
-@query("""
-SELECT * FROM (VALUES (1, 'a', 0, 10), (1, 'b', 12, 20), (2, 'a', 5, 30), (2, 'c', 30, 31)) t(doc, kind, start, "end")
+@query(f"""
+WITH RECURSIVE x AS (SELECT doc, event_type AS kind, s, e, row_number() OVER (PARTITION BY doc ORDER BY s, s - e, event_type) AS r FROM ({_SPANS})),
+f(doc, r, last, kept) AS (SELECT doc, r, e, true FROM x WHERE r = 1 UNION ALL SELECT x.doc, x.r, CASE WHEN x.s >= f.last THEN x.e ELSE f.last END, x.s >= f.last FROM f JOIN x ON x.doc = f.doc AND x.r = f.r + 1)
+SELECT doc, kind, s AS start, e AS "end" FROM f JOIN x USING (doc, r) WHERE kept
 """)
 def span_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "region")
-    spans = [(1, "a", 0, 10), (1, "b", 0, 8), (1, "c", 9, 13), (1, "b", 12, 20), (2, "b", 6, 9), (2, "a", 5, 30), (2, "c", 30, 31)]
-    return E.segments(spark.createDataFrame(spans, "doc int, kind string, start int, end int"), "doc")
+    return E.segments(_spans(spark, sf_dir).select("doc", "kind", "start", "end"), "doc")
 
 
-@query("""
-SELECT * FROM (VALUES (1, 0, 20), (1, 20, 45), (2, 5, 9), (2, 10, 12)) t(doc, start, "end")
+@query(f"""
+WITH RECURSIVE x AS (SELECT doc, s, e, row_number() OVER (PARTITION BY doc ORDER BY s, e) AS r FROM ({_SPANS})),
+f(doc, r, a, b) AS (SELECT doc, r, s, e FROM x WHERE r = 1 UNION ALL SELECT x.doc, x.r, CASE WHEN x.s <= f.b AND greatest(x.e, f.b) - f.a <= 300 THEN f.a ELSE x.s END, CASE WHEN x.s <= f.b AND greatest(x.e, f.b) - f.a <= 300 THEN greatest(x.e, f.b) ELSE x.e END FROM f JOIN x ON x.doc = f.doc AND x.r = f.r + 1),
+w AS (SELECT doc, r, a, b, CASE WHEN lag(a) OVER p = a AND (lag(b) OVER p) <= b AND lag(r) OVER p = r - 1 THEN 0 ELSE 1 END AS fresh FROM f WINDOW p AS (PARTITION BY doc ORDER BY r)),
+n AS (SELECT doc, r, a, b, sum(fresh) OVER (PARTITION BY doc ORDER BY r) AS k FROM w)
+SELECT doc, min(a) AS start, max(b) AS "end" FROM n GROUP BY doc, k
 """)
 def merge_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "region")
-    return E.merged_windows(spark.createDataFrame([(1, 0, 10), (1, 8, 20), (1, 20, 45), (2, 5, 9), (2, 10, 12)], "doc long, start long, end long"), "doc", 30)
+    return E.merged_windows(_spans(spark, sf_dir).select("doc", "start", "end"), "doc", 300)
 
 
-@query("""
-SELECT * FROM (VALUES (1, 1, 11), (1, 2, 12), (2, 4, 13)) t(doc, p_id, g_id)
+@query(f"""
+WITH RECURSIVE x AS ({_SPANS}), p AS (SELECT doc, id, s, e, row_number() OVER (PARTITION BY doc ORDER BY s, id) AS r FROM x WHERE id % 2 = 0), g AS (SELECT doc, id, s, e FROM x WHERE id % 2 = 1),
+f(doc, r, p_id, g_id, used) AS (SELECT DISTINCT doc, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, []::BIGINT[] FROM p UNION ALL
+  SELECT doc, r, p_id, best, CASE WHEN best IS NULL THEN used ELSE list_append(used, best) END FROM (
+    SELECT p.doc, p.r, p.id AS p_id, f.used, max_by(g.id, (least(p.e, g.e) - greatest(p.s, g.s)) * 1000000000000 - g.s * 10000000 - g.id) AS best
+    FROM f JOIN p ON p.doc = f.doc AND p.r = f.r + 1 LEFT JOIN g ON g.doc = p.doc AND g.s < p.e AND g.e > p.s AND NOT list_contains(f.used, g.id) GROUP BY p.doc, p.r, p.id, f.used))
+SELECT doc, p_id, g_id FROM f WHERE g_id IS NOT NULL
 """)
 def greedy_overlap_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "region")
-    rows = [(1, "p", 1, 0, 10), (1, "p", 2, 5, 15), (1, "p", 3, 50, 60), (1, "g", 11, 0, 9), (1, "g", 12, 2, 14), (2, "p", 4, 0, 3), (2, "p", 5, 1, 3), (2, "g", 13, 1, 3)]
-    return E.greedy_overlap(spark.createDataFrame(rows, "doc long, side string, id long, start long, end long"), "doc")
+    rows = _spans(spark, sf_dir).select("doc", F.when(F.col("id") % 2 == 0, "p").otherwise("g").alias("side"), "id", "start", "end")
+    return E.greedy_overlap(rows, "doc")
 
 
 @query("""
@@ -202,19 +199,10 @@ def doc_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", score.cast("long").alias("score"))
 
 
-@query("""
-SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'none' END AS label, row_number() OVER (ORDER BY CASE p_size % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END, p_partkey) AS position FROM part ORDER BY position LIMIT 50
-""")
-def custom_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = F.array(*map(F.lit, ("high", "medium", "low", "none")))
-    ranked = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 4).alias("o")).orderBy("o", "p_partkey").limit(50)
-    return ranked.select("p_partkey", F.get(labels, F.col("o")).alias("label"), F.row_number().over(W.orderBy("o", "p_partkey")).alias("position"))
-
-
 @query("""
 SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'none' END AS label, row_number() OVER (ORDER BY p_size % 4, p_partkey) AS position FROM part
 """)
-def custom_order_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def custom_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = F.array(*map(F.lit, ("high", "medium", "low", "none")))
     parts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 4).alias("o"))
     return J.positions(parts, "o", "p_partkey").select("p_partkey", F.get(labels, F.col("o")).alias("label"), "position")

@@ -11,13 +11,8 @@ from citeloom.operators import evaluation as E
 from citeloom.operators import graph as G
 
 
-@query("SELECT lang, source, count(*) AS documents, count(DISTINCT substr(text, 1, 30)) AS openings FROM documents GROUP BY ALL")
-def counts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("documents"), F.count_distinct(F.substring("text", 1, 30)).alias("openings"))
-
-
 @query("SELECT lang, source, count(*) AS documents, count(DISTINCT text) AS texts FROM documents GROUP BY ALL")
-def texts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+def counts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("documents"), F.count_distinct(F.sha2("text", 256)).alias("texts"))
 
 
@@ -38,13 +33,13 @@ def counts_by_year_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers cite suppliers through their orders' lines; both are documents of one graph."""
+    """Customers cite suppliers through their orders' lines; a supplier is the customer of its number, so documents cite and are cited."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
-    return orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"]).select((F.col("o_custkey") % 400).alias("src"), (F.col("l_suppkey") * 3 % 400).alias("tgt"))
+    return orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"]).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("tgt"))
 
 
-_EDGES = "SELECT o_custkey % 400 AS src, l_suppkey * 3 % 400 AS tgt FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
+_EDGES = "SELECT o_custkey AS src, l_suppkey AS tgt FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
 
 
 @query(f"SELECT src, tgt, count(*) AS weight FROM ({_EDGES}) GROUP BY ALL")
@@ -108,14 +103,24 @@ def pagerank5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey * 7 % 997 AS b FROM supplier), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen)
+WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey + CASE WHEN c_custkey % 50 < 49 THEN 1 ELSE 0 END AS b FROM customer), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS seen FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.seen)
 SELECT node, min(seen) AS component FROM r GROUP BY node
 """)
 def weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("src"), (F.col("s_suppkey") * 7 % 997).alias("tgt"))
+    nxt = F.col("c_custkey") + F.when(F.col("c_custkey") % 50 < 49, 1).otherwise(0)
+    edges = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("src"), nxt.alias("tgt"))
     return G.components(edges, edges.select(F.col("src").alias("node")).union(edges.select("tgt")).distinct())
 
 
+@query("""
+SELECT CASE WHEN o_orderstatus = 'F' THEN 'exact_decision' ELSE 'same_proceeding' END AS scope, count(*) AS total, sum((o_custkey % 3 = 0)::INT)::BIGINT AS citing, sum((o_orderkey % 3 = 0)::INT)::BIGINT AS cited FROM orders WHERE o_custkey % 3 = 0 OR o_orderkey % 3 = 0 GROUP BY 1
+""")
+def link_scope_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    office = lambda c: F.when(F.col(c) % 3 == 0, "uohs").otherwise("ns")
+    links = table(spark, sf_dir, "orders").select(office("o_custkey").alias("source_source"), office("o_orderkey").alias("target_source"), F.when(F.col("o_orderstatus") == "F", "exact_decision").otherwise("same_proceeding").alias("target_scope"))
+    return G.scope_summary(links, "uohs")
+
+
 @query(f"""
 WITH e AS (SELECT src, tgt, count(*) AS w FROM ({_EDGES}) GROUP BY ALL), h AS (SELECT tgt AS hub FROM e GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
 (SELECT 'in' AS side, src AS node, w AS weight FROM e JOIN h ON tgt = hub ORDER BY w DESC, src LIMIT 10) UNION ALL (SELECT 'out', tgt, w FROM e JOIN h ON src = hub ORDER BY w DESC, tgt LIMIT 4)

@@ -16,14 +16,14 @@ def run(spark, folder, name, **tables):
 def test_versions_of_all_lineitem_rows(spark, tmp_path):
     lineitem = [(7, 1, "2020-01-01"), (8, 1, "2020-03-01"), (9, 2, "2020-02-01")]
     orders = [(1, 1, "2020-04-01"), (2, 2, "2020-04-01"), (3, 1, "2020-02-01"), (4, 2, "2020-01-01")]
-    got = run(spark, tmp_path, "asof_law_version_whole", lineitem=(lineitem, "l_orderkey long, l_suppkey long, l_shipdate string"), orders=(orders, "o_orderkey long, o_custkey long, o_orderdate string"))
+    got = run(spark, tmp_path, "asof_law_version", lineitem=(lineitem, "l_orderkey long, l_suppkey long, l_shipdate string"), orders=(orders, "o_orderkey long, o_custkey long, o_orderdate string"))
     assert sorted(got) == [(1, "2020-03-01"), (2, "2020-02-01"), (3, "2020-01-01"), (4, None)]
 
 
 def test_keys_of_all_suppliers(spark, tmp_path):
-    got = dict(run(spark, tmp_path, "selfid_keys_whole", supplier=([(9001,), (12345,), (12346,), (12347,), (4,)], "s_suppkey long")))
-    assert got[9001] == "S90012014,S90012014VZ" and got[12346] == "S123462014,S123462014VZ" and got[4] == "S00042014,S00042014VZ,S42014"
-    assert got[12345] == "IIIUS123451999,IIIUS1234599,US1234599" and got[12347] == "25CDO123472007,25CDO12347200712"
+    got = dict(run(spark, tmp_path, "selfid_keys", supplier=([(9001,), (12345,), (12346,), (12347,), (12348,), (5,)], "s_suppkey long")))
+    assert got[9001] == "S90012014,S90012014VZ" and got[12345] == "S123452014,S123452014VZ" and got[5] == "S00052014,S00052014VZ,S52014"
+    assert got[12348] == "IIIUS123481999,IIIUS1234899,US1234899" and got[12346] == "25CDO123462007,25CDO12346200712" and got[12347] == "S12123472014"
 
 
 def test_normalized_text_beyond_200_characters(spark, tmp_path):
@@ -35,13 +35,13 @@ def test_normalized_text_beyond_200_characters(spark, tmp_path):
 
 def test_texts_with_one_opening_count_apart(spark, tmp_path):
     rows = [("cs", "s", "x" * 40 + end) for end in ("a", "b", "b")] + [("cs", "s", None)]
-    assert run(spark, tmp_path, "texts_by_source", documents=(rows, "lang string, source string, text string")) == [("cs", "s", 4, 2)]
+    assert run(spark, tmp_path, "counts_by_source", documents=(rows, "lang string, source string, text string")) == [("cs", "s", 4, 2)]
 
 
 def test_position_of_every_part(spark, tmp_path):
     sizes = [(k, k * 7 % 11) for k in range(1, 301)]
-    got = run(spark, tmp_path, "custom_order_whole", part=(sizes, "p_partkey long, p_size int"))
+    got = run(spark, tmp_path, "custom_order", part=(sizes, "p_partkey long, p_size int"))
     expected = sorted(sizes, key=lambda p: (p[1] % 4, p[0]))
     labels = ("high", "medium", "low", "none")
     assert sorted(got, key=lambda r: r[2]) == [(k, labels[n % 4], i + 1) for i, (k, n) in enumerate(expected)]
-    assert run(spark, tmp_path, "custom_order_whole", part=([], "p_partkey long, p_size int")) == []
+    assert run(spark, tmp_path, "custom_order", part=([], "p_partkey long, p_size int")) == []
