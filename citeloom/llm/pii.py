@@ -1,8 +1,8 @@
 """Personal data: fixed patterns plus bootstrapped contextual extraction (DataFrame functions only).
 
 The base patterns give seed entities. Every seed is an instance, and so is every run of
-identifier-like tokens outside seeds (with digits, or with a symbol between letters), and every
-token of a run; the words around the whole instance are lexical patterns. On the graph of patterns and
+identifier-like tokens outside seeds (with digits, or with a symbol between letters), however
+long or short, and every token of a run; the words around the whole instance are lexical patterns. On the graph of patterns and
 instances, scores go back and forth a fixed number of rounds: a pattern scores as the share of
 its instances' scores, an instance as its best pattern. Instances in the context of a pattern that
 is confident and supported by several different seeds become further spans.
@@ -103,13 +103,36 @@ def _bound(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+#: Characters around an instance in which its neighbouring words are looked for first; where a word reaches
+#: the edge, the next size is taken, and at last all of the text.
+WINDOWS = (48, 1024)
+BEFORE = rf"(?:[^{BLANK}]++[{BLANK}]++)?[^{BLANK}]++[{BLANK}]*+$"
+AFTER = rf"^\p{{Punct}}*+[{BLANK}]++[^{BLANK}]++"
+
+
+def _widening(found, sizes: tuple[int, ...]) -> Column:
+    """``found(size)`` gives (value, whether the text goes on beyond the edge it touches); the first size where it does not counts."""
+    value, cut = found(sizes[0])
+    return value if len(sizes) == 1 else F.when(~cut, value).otherwise(_widening(found, sizes[1:]))
+
+
 def _contexts(text: Column, start: Column, end: Column) -> tuple[Column, Column]:
-    """The two words before the place, and the word before and the one after it; punctuation at the place is skipped."""
-    before = F.lower(F.substr(text, F.greatest(F.lit(1), start - 47), F.least(F.lit(48), start)))
-    before = F.regexp_replace(before, rf"(?<=^|[{BLANK}])\p{{Punct}}+$", "")
-    after = F.lower(F.substr(text, end + 1, F.lit(32)))
-    words = F.trim(F.regexp_replace(F.regexp_extract(before, rf"(?:[^{BLANK}]++[{BLANK}]++)?[^{BLANK}]++[{BLANK}]*+$", 0), rf"[{BLANK}]+", " "))
-    return words, F.concat_ws("_", F.element_at(F.split(words, " "), -1), F.regexp_extract(after, rf"^\p{{Punct}}*+[{BLANK}]++([^{BLANK}]++)", 1))
+    """The two words before the place, and the word before and the one after it, whole; punctuation at the place is skipped."""
+
+    def before(size: int | None) -> tuple[Column, Column]:
+        low = F.lit(1) if size is None else F.greatest(F.lit(1), start - (size - 1))
+        window = F.regexp_replace(F.substr(text, low, start - low + 1), rf"(?<=^|[{BLANK}])\p{{Punct}}+$", "")
+        value = F.regexp_extract(window, BEFORE, 0)
+        return value, (low > 1) & (F.length(value) == F.length(window))
+
+    def after(size: int | None) -> tuple[Column, Column]:
+        window = F.substr(text, end + 1) if size is None else F.substr(text, end + 1, F.lit(size))
+        value = F.regexp_extract(window, AFTER, 0)
+        return value, (F.length(window) == (size or -1)) & (F.length(value) == F.length(window)) | window.rlike(rf"^\p{{Punct}}*+[{BLANK}]*+$") & (F.length(window) == (size or -1))
+
+    words = F.lower(F.trim(F.regexp_replace(_widening(before, (*WINDOWS, None)), rf"[{BLANK}]+", " ")))
+    following = F.regexp_extract(F.lower(_widening(after, (*WINDOWS, None))), rf"[{BLANK}]([^{BLANK}]++)$", 1)
+    return words, F.concat_ws("_", F.element_at(F.split(words, " "), -1), following)
 
 
 def _instances(text: Column, base: Column) -> Column:
@@ -146,13 +169,9 @@ def _instances(text: Column, base: Column) -> Column:
     def free(m: Column) -> Column:
         return ~F.exists(base, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"]))
 
-    def long_enough(p: Column) -> Column:
-        found = F.substr(text, p["start"] + 1, p["end"] - p["start"])
-        return (p["end"] - p["start"] >= 5) & (p["end"] - p["start"] <= 64) & found.rlike(rf"[0-9].*[0-9]|\p{{L}}[^{BLANK}\p{{L}}0-9]++\p{{L}}")
-
     seeds = F.transform(base, lambda b: instance(b["start"], b["end"], F.substr(text, b["start"] + 1, b["end"] - b["start"]), b["kind"], F.lit(None), F.lit(True)))
     tokens = F.filter(F.transform(matches(text, TOKEN), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))), free)
-    return F.concat(seeds, F.transform(F.filter(_bound(tokens, places), long_enough), candidate))
+    return F.concat(seeds, F.transform(_bound(tokens, places), candidate))
 
 
 def discover(seen: DataFrame, stage: Staged) -> DataFrame:

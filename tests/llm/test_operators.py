@@ -113,6 +113,21 @@ def test_pii_contexts_discover_unseen(spark):
     assert got[101] == ""
 
 
+def test_pii_identifiers_of_any_length_and_without_digits(spark):
+    ship(spark)
+    word = "w" * 60
+    seeds = [(i, f"You may {word} write to{'.' * (i % 2)} {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}@mail.example.org {word} then") for i in range(30)]
+    long = "x7" * 100
+    hidden = {100: long, 101: "a.b", 102: "7", 103: "jane.doe(at)mail"}
+    rows = seeds + [(k, f"You may {word} write to {v} {word} then") for k, v in hidden.items()]
+    rows += [(200, f"You may {word[:-1]}v write to 12345 and"), (201, f"You may v{word} and to 12345 v{word} then")]  # words that differ beyond 48 characters are other words
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, v in hidden.items():
+        text = dict(rows)[k]
+        assert got[k] == f"email:{text.index(' ' + v + ' ') + 1}:{text.index(' ' + v + ' ') + 1 + len(v)}", v
+    assert got[201] == ""
+
+
 def test_pii_contexts_around_whole_seeds(spark):
     phones = [(i, f"You can please call +1 (212) 555-{1000 + i} today. Thanks.") for i in range(30)]
     mails = [(100 + i, f"You may always write {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}.doe@mail.example.org now. Thanks.") for i in range(30)]
