@@ -20,11 +20,14 @@ BLANK = r"\x20\x09-\x0D"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder is set instead.
+    Where the session names none, a temporary folder is set on one machine (tests); a cluster
+    must name its own, as its executors do not see the driver's disk.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not jvm_dir.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = jvm_dir.get() if jvm_dir.isDefined() else "file://" + tempfile.mkdtemp(prefix="citeloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

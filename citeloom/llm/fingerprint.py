@@ -103,11 +103,11 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     n_parts = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("body"))
     rows = rows.withColumn("rank", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    ranks = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("rank"))
+    ranks = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("rank"), "text")
     low = ranks.agg(F.min("rank")).first()[0]
-    points = cut_points(ranks, "rank", n_parts) if low is not None else []
+    points = cut_points(ranks, "rank", n_parts, F.coalesce(F.octet_length("text"), F.lit(0)) + 64) if low is not None else []
     at = range_of(F.col("rank"), points)
-    firsts = F.array(*[F.lit(x).cast("long") for x in [low or 0, *points]])
+    firsts = F.split(F.lit(",".join(map(str, [low or 0, *points]))), ",").cast("array<bigint>")
     own = F.struct(F.col("at"), F.lit(False).alias("halo"))
     before = F.struct(F.when(F.col("at") > 0, F.col("at") - 1).otherwise(len(points)).alias("at"), F.lit(True).alias("halo"))
     placed = rows.withColumn("at", at).withColumn("places", F.when(F.get(firsts, F.col("at")) == F.col("rank"), F.array(own, before)).otherwise(F.array(own)))

@@ -29,6 +29,8 @@ BLOCK = 1024
 LANDING = 11
 #: Sources up to this number are broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 20_000
+#: Sources a mix can have: their totals, a row each, are gathered to deal out the words.
+MOST_SOURCES = 1_000_000
 
 
 def targets(totals: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, cap: float = 3.0) -> dict[str | None, float]:
@@ -112,12 +114,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     document, ``taken`` its words. Sources rank by code point with null last. Rows that share a
     doc_id are separate units. A source without words has target 0, and documents without words
     are taken as their ratio says, which adds no words. No rows in, no rows out; further columns
-    are ignored. The result depends on the rows alone, not on their order or partitions.
+    are ignored. The result depends on the rows alone, not on their order or partitions. More
+    than MOST_SOURCES sources are refused.
     """
     spark = docs.sparkSession
     stage = Staged(spark, "mix")
     sized = stage.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(plain_text(F.col("text")), F.lit(f"[^{BLANK}]+")).cast("long").alias("size")))
-    totals = [(r["source"], r["w"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).collect()]
+    summed = sized.groupBy("source").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(summed) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    totals = [(r["source"], r["w"], r["n"]) for r in summed]
     target = targets([(s, w) for s, w, _ in totals], weights, share, cap) if totals else {}
     plan = spark.createDataFrame(
         [(s, w, target[s], (target[s] / w if w else 0.0), max(1, math.ceil(n / block)), n) for s, w, n in totals],

@@ -141,7 +141,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, limit: int = LABELLED) -> QualityModel:
-    """Fits on labelled rows outside fold ``held``; one more fold calibrates. Without labels of both kinds the score is constant."""
+    """Fits on labelled rows outside fold ``held``; one more fold calibrates. Without any the score is constant; with one kind only the ridge fits that one."""
     sample = labelled(docs, labels, "quality", folds, held, limit).select("body", "quality", "part").repartition(FIT_TASKS).persist()
     calibrating = (held + folds - 1) % folds
     fitting = sample.filter(F.col("part") != calibrating)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeloom.llm.common import lean
@@ -22,8 +22,9 @@ BUCKETS = 1 << 15
 #: Words that a worker remembers.
 VOCABULARY = 150_000
 EMBEDDING, FILTERS, WIDTHS = 6, 6, (1, 2, 3)
-#: At most about this many labelled documents are used to train and calibrate.
-LABELLED = 12_000
+#: At most this many labelled documents are used to train and calibrate, and of them, by hash of the identifier, as many as have so
+#: many bytes of text together (codes of a word take 4 bytes in the driver). Texts are taken whole or not at all.
+LABELLED, LABELLED_BYTES = 12_000, 256 << 20
 #: Training takes at most this many documents without the label for each one with it, from so many
 #: in 1,000 of them by hash of the identifier. Calibration takes all.
 NEGATIVES, THINNED = 2, 400
@@ -216,13 +217,16 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((edges[k] + edges[k + 1]) / 2, 0.02, 0.98))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, limit: int = LABELLED) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, limit: int = LABELLED, limit_bytes: int = LABELLED_BYTES) -> ToxicityModel:
     """Trains on labelled rows outside fold ``held``: three quarters train, thinned, and one quarter calibrates, all of it.
 
-    The sample of at most ``limit`` documents is gathered as bucket numbers in the driver.
+    The sample of at most ``limit`` documents and ``limit_bytes`` bytes is gathered as bucket numbers in the driver.
     Without labels of both kinds the model knows nothing and gives one score to all texts.
     """
     sample = labelled(docs, labels, "toxic", folds, held, limit)
+    sizes = sample.groupBy("doc_id").agg(F.sum(F.octet_length("body")).alias("size"))  # at most ``limit`` rows
+    within = sizes.withColumn("upto", F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("upto") <= limit_bytes)
+    sample = sample.join(F.broadcast(within.select("doc_id")), "doc_id")
     turn = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1000))
     rows = sample.select("doc_id", "body", "toxic", ((F.col("toxic") == 1) | (turn < THINNED)).cast("int").alias("trains"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from citeloom import ship
 from citeloom.llm import htmltext
@@ -85,3 +86,52 @@ def test_templates_are_per_layout(spark):
     words = ["alpha", "beta", "gamma", "delta", "epsilon"]
     rows = [(i, f"http://many.example/{i}", page.format(w=words[i % 5], n=i)) for i in range(20)]
     assert _texts(spark, rows) == {i: f"Text number {i} stands on this page only" for i in range(20)}
+
+
+def test_slots_decide_without_landmarks_and_names(spark):
+    """The generated pages with all their landmark elements renamed to div and without names: classes and slots alone."""
+    ship(spark)
+    rename = re.compile(r"<(/?)(?:article|nav|footer|header|aside|main)\b")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = [(r["page_id"], r["url"], r["html"]) for r in pages.collect()]
+    hosts = Counter(re.match(r"https?://([^/]+)", u)[1] for _, u, _ in rows)
+    bare = [(i, u, re.sub(r'class="ad"', "", rename.sub(r"<\1div", h))) for i, u, h in rows if hosts[re.match(r"https?://([^/]+)", u)[1]] >= 3]
+    got = _texts(spark, bare)
+    wrong = 0
+    for i, _, h in rows:
+        if i in got:
+            article = re.search(r"(?s)<article>(.*?)</article>", h)[1]
+            blocks = re.split(r"</?(?:p|h1)>", article.replace("<br>", " "))
+            wrong += got[i] != "\n".join(x for b in blocks if (x := " ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split())))
+    assert len(got) > 150 and wrong == 0
+
+
+def test_slot_of_three_pages(spark):
+    ship(spark)
+    page = '<html><body><div><a href="/">Home</a> <a href="/x">News {n}</a></div><div><div><p>Words of the article {n}, long enough to be most of it.</p><p>And more of {n}</p></div></div><div><p>Made by us {n}</p></div></body></html>'
+    assert _texts(spark, [(i, f"http://three.example/{i}", page.format(n=i)) for i in range(3)]) == {i: f"Words of the article {i}, long enough to be most of it.\nAnd more of {i}" for i in range(3)}
+
+
+def test_common_names_inside_an_article_stay(spark):
+    ship(spark)
+    inside = '<h1>T {n}</h1><div class="related-work"><p>Earlier work {n}</p></div><p class="search">We search {n}</p><p class="note-header">Note {n}</p><p>Let <math><mi>x</mi><mo>=</mo><mn>{n}</mn></math> be</p>'
+    page = "<html><body><nav>menu</nav><article>" + inside + '</article><article class="teaser"><p>Other</p></article></body></html>'
+    for hosts in (1, 4):
+        rows = [(i, f"http://n{i % hosts}.example/{i}", page.format(n=i)) for i in range(4)]
+        assert _texts(spark, rows) == {i: f"T {i}\nEarlier work {i}\nWe search {i}\nNote {i}\nLet x={i} be" for i in range(4)}
+
+
+def test_names_count_where_the_host_repeats_them(spark):
+    ship(spark)
+    page = '<html><body><article><p>Own text number {n} of the page</p>{box}</article></body></html>'
+    box = '<div class="share"><p>Box {n}</p></div>'
+    rows = [(i, f"http://names.example/{i}", page.format(n=i, box=box.format(n=i))) for i in range(4)] + [(9, "http://names.example/9", page.format(n=9, box='<div class="comments"><p>About comments</p></div>'))]
+    assert _texts(spark, rows) == {i: f"Own text number {i} of the page" for i in range(4)} | {9: "Own text number 9 of the page\nAbout comments"}
+
+
+def test_deep_paths_stay_apart(spark):
+    ship(spark)
+    deep = "".join(f'<div class="level{"abcdefghij"[k % 10]}{"klmnopqrst"[k // 10]}">' for k in range(60))
+    page = "<html><body><div>{deep}<p>Same line</p>{shut}</div><div><p>Own text of page {n}, which is the longer one here</p></div></body></html>"
+    rows = [(i, f"http://deep.example/{i}", page.format(deep=deep, shut="</div>" * 60, n=i)) for i in range(4)]
+    assert _texts(spark, rows) == {i: f"Own text of page {i}, which is the longer one here" for i in range(4)}
