@@ -36,10 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
 class Staged:
     """Tables written to the shared folder, to cut lineage or to reuse work.
 
-    A written table survives the loss of any executor. ``drop`` removes one that no later
-    plan reads; what a returned DataFrame still reads stays until the folder is emptied.
+    A written table survives the loss of any executor, and what its job shuffled is deleted when
+    the job ends. ``drop`` removes a table that no later plan reads; what a returned DataFrame
+    still reads stays until the folder is emptied.
     """
 
+    #: Spark's setting that deletes a job's shuffle files at its end, on for the writes here only.
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -48,7 +52,15 @@ class Staged:
     def write(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.option("compression", codec).parquet(path)
+        before = self.spark.conf.get(self.CLEANUP, None)
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(self.CLEANUP)
+            else:
+                self.spark.conf.set(self.CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged_at = path
         return out

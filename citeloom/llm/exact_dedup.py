@@ -1,9 +1,10 @@
 """Exact duplicates by content sort (DataFrame functions only).
 
-Sampled splitters range-partition the rows by their case-folded bytes, an external sort places
+Sampled splitters range-partition the rows by their normalised bytes, an external sort places
 equal texts next to each other, and every row is compared in full with its neighbour.
 
-The sort key is (first bytes of the folded text, a hash of all of it, salt): equal texts have
+The sort key is (the first HEAD characters of the normalised text, a hash of all of it, salt), compared byte by byte:
+texts that agree in their first characters are told apart by the hash, equal texts have
 equal keys, so a run never leaves its key, and only the short key travels to the driver when
 splitters are sampled. A text that more than ``rows / (4 * partitions)`` rows share is salted:
 its rows form several runs in several partitions, each run leaves one representative with its
@@ -17,7 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from citeloom.llm.common import Staged, ascii_lower, partitions, plain_text
+from citeloom.llm.common import Staged, ascii_lower, partitions
+
+
+#: Characters of a text that its sort key begins with.
+HEAD = 64
 
 
 def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -33,7 +38,7 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("keep is 'smallest' or 'largest'")
     spark, n_parts = docs.sparkSession, partitions(docs.sparkSession)
     best = F.max if keep == "largest" else F.min
-    rows = docs.select(F.col(id_col).alias("doc_id"), plain_text(F.col(text_col)).alias("body")).withColumn("fold", F.xxhash64(F.lower("body")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.col(text_col)).alias("norm")).withColumn("fold", F.xxhash64("norm"))
 
     total = docs.select(F.lit(1)).count()
     often = max(64, total // (4 * n_parts))
@@ -41,11 +46,11 @@ def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hot = hot.select(F.col("fold").alias("hot_fold"), F.ceil(F.col("n") / often).cast("int").alias("shares"))
 
     salted = rows.join(F.broadcast(hot), F.col("fold") == F.col("hot_fold"), "left").select(
-        "doc_id", "body", F.substring(F.lower("body"), 1, 24).alias("head"), "fold",
+        "doc_id", "norm", F.substring("norm", 1, HEAD).alias("head"), "fold",
         F.when(F.col("shares").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("shares").cast("long")).cast("int")).otherwise(-1).alias("salt"),
     )
     key = ["head", "fold", "salt"]
-    dealt = salted.repartitionByRange(n_parts, *key).select("doc_id", ascii_lower(F.col("body")).alias("norm"), *key)
+    dealt = salted.repartitionByRange(n_parts, *key).select("doc_id", "norm", *key)
 
     along = W.partitionBy(*key).orderBy("norm", F.col("doc_id") if keep == "largest" else F.col("doc_id").desc_nulls_first())
     starts = F.when(F.col("norm") == F.lag("norm").over(along), 0).otherwise(1)

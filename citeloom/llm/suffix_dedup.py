@@ -17,17 +17,17 @@ dealt to tasks by it: what can be equal meets, and each task holds a collection
    are read and written in sequence, one file each. After the last round, runs of equal
    neighbours are the equal strings, and take the smallest identifier.
 5. Minimizers with very many different fragments would make one task grow; the strings of those
-   are compared one by one through an ordinary grouped aggregation.
+   are compared one by one through an ordinary grouped aggregation. So a collection has at most
+   COLLECTION strings and those of the minimizer that fills it, CROWD * WINDOWS at most: its columns
+   are read as a whole and take 13 bytes a string, its letters some more, under 40 MB together.
 6. Each occurrence of a fragment learns which of its strings start in a smaller document, and
    each document removes the bytes that those strings cover.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import tempfile
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -369,14 +369,6 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(KEPT), KEPT, strict=True)], schema=KEPT)
 
 
-def _release(spark) -> None:
-    """Lets Spark delete the shuffle files of finished steps; what Python drops first is dropped by the JVM in the second round."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def _fragments(rows: DataFrame, stage: Staged) -> DataFrame:
     n_parts = partitions(rows.sparkSession)
     packed = "bucket int, known boolean, rows binary, minimizers binary"
@@ -414,12 +406,10 @@ def repeated_passages(docs: DataFrame, crowd_size: int = CROWD) -> DataFrame:
     rows = rows.withColumn("row", F.shiftrightunsigned(F.xxhash64("doc_id", "body"), 2)).withColumn("row", F.greatest("row", F.lit(1)))
     rows = _marked(rows, stage)
     cut = _fragments(rows.filter(~F.col("copy") & (F.octet_length("body") >= LENGTH)), stage)
-    _release(spark)
 
     name = list(NAME)
     dealt = cut.filter("fragment is not null").select("minimizer", *name, "rank", "fragment").repartition(n_parts, "minimizer").sortWithinPartitions("minimizer", *name, "rank")
     every = stage.write(dealt.mapInArrow(_smallest(crowd_size), "ha long, hb long, n int, least long, smallest array<long>, fragment binary"))
-    _release(spark)
 
     crowded = every.filter("fragment is not null")
     if crowded.take(1):
