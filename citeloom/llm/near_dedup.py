@@ -36,6 +36,8 @@ MISS = 1e-6
 BLOCK, FULL_BLOCK = 4096, 128
 #: Up to so many identifiers are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 300_000
+#: Members from which on a bucket can be hot.
+LEAST_HOT = 256
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _rng = np.random.default_rng(2024)
@@ -265,11 +267,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substr(F.col("sig"), k * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     members = classes.filter("rep is not null").select("rep", F.explode(bands).alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
-    met = stage.write(members.join(buckets, "bucket").select("bucket", "rep", "n"))
+    buckets = stage.write(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("bucket", "n"))
+    # at most 4 * n_parts buckets can have more than that share of all members
+    often = max(LEAST_HOT, BANDS * classes.count() // (4 * n_parts))
+    hot = stage.write(buckets.filter(F.col("n") > often).select("bucket"))
+
+    def with_bucket(rows: DataFrame, per_bucket: DataFrame) -> DataFrame:
+        """Rows with what a table of one row for each bucket says; rows of hot buckets stay where they are."""
+        cold = rows.join(F.broadcast(hot), "bucket", "left_anti").join(per_bucket, "bucket")
+        return cold.unionByName(rows.join(F.broadcast(per_bucket.join(F.broadcast(hot), "bucket", "left_semi")), "bucket"))
+
+    met = stage.write(with_bucket(members, buckets).select("bucket", "rep", "n"))
     meets = met.groupBy("rep").agg(F.sum("n").alias("meets"))
     hubs = met.join(meets, "rep").groupBy("bucket").agg(F.max_by("rep", F.struct("meets", -F.col("rep"))).alias("hub"))
-    star = met.join(hubs, "bucket").filter("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
+    star = with_bucket(met, hubs).filter("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
 
     def sets_of(asked: DataFrame) -> DataFrame:
         """(rep, members): the full sets of some classes, from the texts of their representatives."""
@@ -291,7 +302,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         """(bucket, rep, c, m, minor, few): of buckets in several components, members, their number, whether outside the largest component, and how many are."""
         parts = rows.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("size"))
         sizes = parts.groupBy("bucket").agg(F.sum("size").alias("m"), F.max("size").alias("most"), F.max_by("c", F.struct("size", "c")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        return rows.join(sizes, "bucket").select("bucket", "rep", "c", "m", (F.col("c") != F.col("main")).alias("minor"), (F.col("m") - F.col("most")).alias("few"))
+        return with_bucket(rows, sizes).select("bucket", "rep", "c", "m", (F.col("c") != F.col("main")).alias("minor"), (F.col("m") - F.col("most")).alias("few"))
 
     def in_blocks(rows: DataFrame, block: int) -> DataFrame:
         """Members outside the largest component (side 0) with every block of all members (side 1), cut into blocks themselves."""

@@ -53,4 +53,16 @@ def test_odd_rows(spark):
     assert P.mixing_stage(spark, near, SF).columns == docs.columns
     for _, stage in P.STAGES[1:]:
         assert stage(spark, docs.limit(0), SF).count() == 0
+    # the classifier judges each row by its text, nulls as empty ones, and keeps all columns
+    kept = P.quality_stage(spark, docs, SF)
+    model = P.quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    good = {t: s >= 0.3 for t, s in zip([text, "", text + " tail", text.replace("a", "A")], model.score([text, "", text + " tail", text.replace("a", "A")]))}
+    assert kept.columns == docs.columns and Counter(rows_of(kept)) == Counter((i, t) for i, t in rows if good[t or ""])
+    # near duplicates: rows of one identifier go together, one without is kept only where no other has its text
+    near = P.near_stage(spark, docs, SF)
+    assert Counter(i for i, t in rows_of(near) if t == text) == Counter({1: 2, None: 1}) and {i for i, _ in rows_of(near)} == {1, 3, 4, None}
+    # repeated rows are packed as often as they occur, nulls as one id
+    pieces = P.packing_stage(spark, docs, SF).collect()
+    assert Counter(r["doc_id"] for r in pieces if r["start"] == 0) == Counter(i for i, _ in rows)
+    assert all(r["doc_tokens"] == 1 for r in pieces if r["doc_id"] in (3, 4))
     assert P.quality_stage(spark, docs.limit(0), SF).count() == 0
