@@ -50,6 +50,18 @@ def top_provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("law_id", "number").agg(F.count(F.lit(1)).alias("citations")).orderBy(F.desc("citations"), "law_id", "number").limit(25)
 
 
+@query("""
+SELECT o_orderkey % 30 AS document, concat(o_custkey % 5000 + 1, '/2000 Sb.') AS law_id, count(*) AS citations FROM orders GROUP BY ALL
+""")
+def dictionary_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty long documents, each with a citation for each of its orders, and a dictionary of 5,000 names."""
+    names = [(f"zákon o věci {i} a jiných", [f"{i}/2000 Sb."], None) for i in range(1, 5001)]
+    sentence = F.concat(F.lit("Podle § "), (F.col("o_orderkey") % 900 + 1).cast("string"), F.lit(" zákona o věci "), (F.col("o_custkey") % 5000 + 1).cast("string"), F.lit(" a jiných rozhodl."))
+    docs = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 30).alias("document")).agg(F.array_join(F.collect_list(sentence), " ").alias("text"))
+    found = C.law_occurrences(docs, ("document",), names, fields=("law_id",))
+    return found.groupBy("document", "law_id").agg(F.count(F.lit(1)).alias("citations"))
+
+
 @query("""
 SELECT o_orderkey, g.n AS number FROM orders, LATERAL (SELECT unnest(generate_series(o_custkey % 7 + 1, o_custkey % 7 + 1 + o_orderkey % 4))::VARCHAR AS n) g
 """)
