@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from citeloom.functions import law
+from citeloom.functions import docref, law
 from citeloom.functions import text as T
-from citeloom.operators.work import per_document
+from citeloom.operators.work import per_document, spread
 
 #: Characters between footnotes of one page, and from the last one to its end; fixed value.
 FOOTER_GAP = 600
@@ -217,18 +217,28 @@ def hard_case_route(body: Column, chamberless: Column, short_year: Column) -> Co
     return F.when(chamberless > 1, "link_disambiguation").when(short_year >= 1, recovery).when(F.upper(body).rlike(r"(?U)\b29\s+(?:NSČR|ICDO)\b"), recovery).when(body.rlike(r"(?U)\b[IVXLCDM]+\.\s*ÚS\s+\d+/\d{4}\b"), recovery)
 
 
-def gap_candidates(docs: DataFrame, covered: DataFrame, key: str, most: int) -> DataFrame:
-    """(key, start, end): loose reference shapes that no known span (key, start, end) overlaps, the first ``most`` of each document."""
-    from citeloom.operators.joins import overlapping
+#: Categories of loose candidates that a review looks at.
+BARE_CATEGORIES = ("ustavni_soud", "bare_court_case")
 
-    shape = r"\d{1,3}\s?[A-Za-z]{1,5}\s?\d{1,5}/\d{2,4}"
-    pieces, found = F.split("text", shape, -1), F.regexp_extract_all("text", F.lit(shape), F.lit(0))
-    rows = docs.select(key, F.posexplode(found).alias("k", "m"), pieces.alias("p"), found.alias("f"))
-    before = F.aggregate(F.slice("p", F.lit(1), F.col("k") + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("f", F.lit(1), F.col("k")), F.lit(0), lambda a, x: a + F.length(x))
-    spans = rows.select(key, before.alias("start"), (before + F.length("m")).alias("end"))
-    hit = overlapping(spans, covered.select(key, "start", "end"), key).select(key, F.col("l_start").alias("start")).distinct()
-    left = spans.join(hit, [key, "start"], "left_anti")
-    return left.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy("start"))).filter(F.col("__r") <= most).drop("__r")
+
+def gap_candidates(docs: DataFrame, covered: DataFrame, key: str, most: int, categories: tuple[str, ...] = BARE_CATEGORIES) -> DataFrame:
+    """(key, start, end, text, category): loose reference shapes of a document that no known span (key, start, end) and no earlier one overlaps, the first ``most`` of each document.
+
+    A document's known spans go with its text, as they are bounded by its length.
+    """
+    held = covered.groupBy(key).agg(F.collect_list(F.struct("start", "end")).alias("known"))
+    fields = (("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("category", pa.string()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], []
+            for k, (text, known) in enumerate(zip(batch.column("text").to_pylist(), batch.column("known").to_pylist(), strict=True)):
+                found = docref.gaps(text or "", [(s["start"], s["end"]) for s in known or ()], categories)[:most]
+                at += [k] * len(found)
+                out += found
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), *(pa.array([o[i] for o in out], t) for i, (_, t) in enumerate(fields))], names=[key, *(n for n, _ in fields)])
+
+    return spread(docs.select(key, "text").join(held, key, "left")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, start int, end int, text string, category string")
 
 
 def not_in_corpus_audit(refs: DataFrame, links: DataFrame, fuzzy: DataFrame) -> DataFrame:

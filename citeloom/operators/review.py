@@ -12,9 +12,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Routes of references to a reviewer, and that of those which need none; fixed values.
+DISAMBIGUATION, RECOVERY, PRESENCE, FILTERED = "link_disambiguation", "link_normalization_or_target_recovery", "extraction_presence_check", "filtered_out_of_scope"
+
+
 def route(groups: Column, filtered: Column) -> Column:
     """Where a reference goes: filtered, presence check, recovery of one target or choice between several."""
-    return F.when(filtered, "filtered_out").when(groups > 1, "link_disambiguation").when(groups == 1, "normalization_recovery").otherwise("presence_check")
+    return F.when(filtered, FILTERED).when(groups > 1, DISAMBIGUATION).when(groups == 1, RECOVERY).otherwise(PRESENCE)
 
 
 def bundle(candidates: DataFrame, most: int = 12) -> DataFrame:
@@ -24,8 +28,6 @@ def bundle(candidates: DataFrame, most: int = 12) -> DataFrame:
     return each.withColumn("rank", rank).filter(F.col("rank") <= most).select("entry_id", "law_id", "sources", "rank")
 
 
-#: Routes of references to a reviewer.
-DISAMBIGUATION, RECOVERY, PRESENCE = "link_disambiguation", "link_normalization_or_target_recovery", "extraction_presence_check"
 #: What a reviewer is told, by route, from the second version of the prompts on.
 POLICIES = {
     DISAMBIGUATION: (
@@ -147,6 +149,19 @@ def ask(queue: DataFrame, reviewer: Callable[[str], dict] = offline, retries: in
     return queue.select("entry_id", "prompt").mapInArrow(run, f"entry_id {dict(queue.dtypes)['entry_id']}, decision string, confidence double, error string")
 
 
+def resolved_conflicts(answers: DataFrame) -> DataFrame:
+    """(alias, classification, law_ids, law_id) of answers (alias, candidates, classification, law_ids) about aliases of several laws.
+
+    Laws outside the candidates do not count. 'single' keeps the first one, 'reject' none, and
+    'ambiguous_valid' all; no answer is a rejection. ``law_id`` is there where one law is left.
+    """
+    inside = F.filter(F.coalesce("law_ids", F.array().cast("array<string>")), lambda x: F.array_contains("candidates", x))
+    rows = answers.withColumn("inside", inside).withColumn("classification", F.coalesce("classification", F.lit("reject")))
+    laws = F.when(F.col("classification") == "single", F.slice("inside", 1, 1)).when(F.col("classification") == "ambiguous_valid", F.col("inside")).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("alias", "classification", laws.alias("law_ids"))
+    return rows.withColumn("law_id", F.when(F.size("law_ids") == 1, F.get("law_ids", F.lit(0))))
+
+
 def validated(results: DataFrame, allowed: str = "candidates", chosen: str = "chosen", sure: str = "confidence") -> DataFrame:
     """Choices outside the shortlist become null, with confidence at most 0.5."""
     inside = F.coalesce(F.array_contains(allowed, F.col(chosen)), F.lit(False))

@@ -74,13 +74,16 @@ def hard_case_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, 22 + length((o_custkey % 90)::VARCHAR) AS start FROM orders
+SELECT o_orderkey, 19 + l AS start, concat('5 As ', n, '/2002') AS text, 'bare_court_case' AS category FROM (SELECT o_orderkey, o_custkey % 90 AS n, length((o_custkey % 90)::VARCHAR) AS l FROM orders)
+UNION ALL SELECT o_orderkey, 32 + 2 * l, concat('č. j. 12-34/', n), 'prefixed_anchor' FROM (SELECT o_orderkey, o_custkey % 90 AS n, length((o_custkey % 90)::VARCHAR) AS l FROM orders)
 """)
 def gap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("viz 21 Cdo "), (F.col("o_custkey") % 90).cast("string"), F.lit("/2001 a 5 As 1/2002"))
+    n = (F.col("o_custkey") % 90).cast("string")
+    text = F.concat(F.lit("viz 21 Cdo "), n, F.lit("/2001 a 5 As "), n, F.lit("/2002 "), F.lit("i č. j. 12-34/"), n, F.lit(", ze dne 1. 1. 2001"))
     docs = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
-    covered = docs.select("o_orderkey", F.lit(0).alias("start"), F.lit(12).alias("end"))
-    return N.gap_candidates(docs, covered, "o_orderkey", 5).select("o_orderkey", (F.col("start") + 3).cast("long").alias("start"))
+    covered = docs.select("o_orderkey", F.lit(4).alias("start"), (F.length("text") * 0 + 15).cast("int").alias("end"))
+    found = N.gap_candidates(docs, covered, "o_orderkey", 5, (*N.BARE_CATEGORIES, "prefixed_anchor"))
+    return found.select("o_orderkey", "start", "text", "category")
 
 
 @query("""

@@ -11,7 +11,7 @@ from citeloom.operators import sampling as Z
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'filtered_out' WHEN o_custkey % 3 > 1 THEN 'link_disambiguation' WHEN o_custkey % 3 = 1 THEN 'normalization_recovery' ELSE 'presence_check' END AS route FROM orders
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'filtered_out_of_scope' WHEN o_custkey % 3 > 1 THEN 'link_disambiguation' WHEN o_custkey % 3 = 1 THEN 'link_normalization_or_target_recovery' ELSE 'extraction_presence_check' END AS route FROM orders
 """)
 def route_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", R.route(F.col("o_custkey") % 3, F.col("o_orderstatus") == "P").alias("route"))
@@ -89,6 +89,18 @@ def injected_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.select(F.col("entry_id").alias("o_orderkey"), "decision", "confidence", F.col("error").isNotNull().alias("failed"))
 
 
+@query("""
+SELECT c_custkey::VARCHAR AS alias, CASE c_custkey % 4 WHEN 0 THEN 'single' WHEN 1 THEN 'ambiguous_valid' ELSE 'reject' END AS classification, CASE c_custkey % 4 WHEN 0 THEN concat(c_nationkey, '/2001 Sb.') WHEN 1 THEN concat(c_nationkey, '/2001 Sb.,', c_nationkey, '/2000 Sb.') ELSE '' END AS laws,
+  CASE WHEN c_custkey % 4 = 0 THEN concat(c_nationkey, '/2001 Sb.') END AS law_id FROM customer
+""")
+def conflict_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, k = F.col("c_nationkey").cast("string"), F.col("c_custkey") % 4
+    old, new = F.concat(n, F.lit("/2000 Sb.")), F.concat(n, F.lit("/2001 Sb."))
+    answer = F.when(k == 0, "single").when(k == 1, "ambiguous_valid").when(k == 2, "reject")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("alias"), F.array(old, new).alias("candidates"), answer.alias("classification"), F.array(F.lit("9/9999 Sb."), new, old).alias("law_ids"))
+    return R.resolved_conflicts(rows).select("alias", "classification", F.array_join("law_ids", ",").alias("laws"), "law_id")
+
+
 @query("""
 SELECT o_orderkey AS ref_id, CASE k WHEN 0 THEN 'link_disambiguation' WHEN 1 THEN 'link_normalization_or_target_recovery' ELSE 'extraction_presence_check' END AS route, CASE k WHEN 0 THEN 'a,b' WHEN 1 THEN 'a' ELSE '' END AS targets
 FROM (SELECT o_orderkey, o_orderkey % 7 AS k FROM orders) WHERE k IN (0, 1, 2)
