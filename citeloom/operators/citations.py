@@ -92,7 +92,7 @@ def declared_aliases(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def law_anchors(docs: DataFrame, *keys: str) -> DataFrame:
     """(keys, law_id) for every law number of the text, native: for counts that need no places."""
     found = F.regexp_extract_all("text", F.lit(r"(\d{1,4}/(?:\d{4}|\d{2})\s*Sb\.)"), F.lit(1))
-    return docs.select(*keys, F.explode(found).alias("raw")).select(*keys, T.law_id(F.col("raw")).alias("law_id"))
+    return spread(docs.select(*keys, "text")).select(*keys, F.explode(found).alias("raw")).select(*keys, T.law_id(F.col("raw")).alias("law_id"))
 
 
 def resolved_and_review(rows: DataFrame, with_foreign: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from citeloom.catalog import query, table
 from citeloom.functions import text as T
+from citeloom.operators.work import spread
 
 _FOLD = "strip_accents(replace(text, 'ß', '~'))"
 
@@ -63,7 +64,7 @@ _SHOWN = ("char_count", "token_count", "alnum_ratio", "whitespace_ratio", "line_
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return docs.select("doc_id", "source", *[c.alias(n) for n, c in T.quality_features(F.coalesce("text", F.lit(""))).items()])
 
 

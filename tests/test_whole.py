@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import __spark_entry__ as entry
 
@@ -45,3 +46,18 @@ def test_position_of_every_part(spark, tmp_path):
     labels = ("high", "medium", "low", "none")
     assert sorted(got, key=lambda r: r[2]) == [(k, labels[n % 4], i + 1) for i, (k, n) in enumerate(expected)]
     assert run(spark, tmp_path, "custom_order", part=([], "p_partkey long, p_size int")) == []
+
+
+def test_windows_without_digits(spark, tmp_path):
+    """The windows of each document are those that trying the same places one by one gives."""
+    texts = ["word " * 200, "7 " * 300, ("plain text " * 40 + "12 345 ") * 5, "short 1", None, "é😀 " * 150 + "9" + " x" * 200]
+    got = run(spark, tmp_path, "negative_windows", documents=(list(enumerate(texts)), "doc_id long, text string"))
+    expected = []
+    for doc_id, text in enumerate(texts):
+        text, found = text or "", []
+        for k in range(200 if len(text) >= 200 else 0):
+            low = int(hashlib.sha256(f"42:{doc_id}:{k}".encode()).hexdigest()[:12], 16) % (len(text) - 200 + 1)
+            if len(found) < 3 and not re.search("[0-9]", text[low : low + 200]) and all(abs(low - x) >= 200 for x in found):
+                found.append(low)
+        expected += [(doc_id, low, low + 200) for low in found]
+    assert sorted(got) == sorted(expected) and len(expected) > 5
