@@ -373,12 +373,14 @@ def _fragments(rows: DataFrame, stage: Staged) -> DataFrame:
     n_parts = partitions(rows.sparkSession)
     packed = "bucket int, known boolean, rows binary, minimizers binary"
     sent = rows.select("row", "body").mapInArrow(_collect(n_parts), packed)
-    known = sent.repartition(n_parts, "bucket", "known").sortWithinPartitions("bucket", "known").mapInArrow(_settle(n_parts), packed)
+    known = stage.write(sent.repartition(n_parts, "bucket", "known").sortWithinPartitions("bucket", "known").mapInArrow(_settle(n_parts), packed))
     none = F.lit(None)
     told = known.select("bucket", F.lit(-1).cast("long").alias("row"), none.cast("long").alias("rank"), none.cast("string").alias("body"), "rows", "minimizers")
     docs = rows.select(F.pmod("row", F.lit(n_parts)).cast("int").alias("bucket"), "row", "rank", "body", none.cast("binary").alias("rows"), none.cast("binary").alias("minimizers"))
     both = told.unionByName(docs).repartition(n_parts, "bucket").sortWithinPartitions("bucket", "row")
-    return stage.write(both.mapInArrow(_cut, "ha long, hb long, n int, minimizer long, fragment binary, rank long, row long, first int"))
+    cut = stage.write(both.mapInArrow(_cut, "ha long, hb long, n int, minimizer long, fragment binary, rank long, row long, first int"))
+    stage.drop(known)
+    return cut
 
 
 def _marked(rows: DataFrame, stage: Staged) -> DataFrame:
@@ -409,7 +411,7 @@ def repeated_passages(docs: DataFrame, crowd_size: int = CROWD) -> DataFrame:
 
     name = list(NAME)
     dealt = cut.filter("fragment is not null").select("minimizer", *name, "rank", "fragment").repartition(n_parts, "minimizer").sortWithinPartitions("minimizer", *name, "rank")
-    every = stage.write(dealt.mapInArrow(_smallest(crowd_size), "ha long, hb long, n int, least long, smallest array<long>, fragment binary"))
+    every = answers = stage.write(dealt.mapInArrow(_smallest(crowd_size), "ha long, hb long, n int, least long, smallest array<long>, fragment binary"))
 
     crowded = every.filter("fragment is not null")
     if crowded.take(1):
@@ -423,6 +425,8 @@ def repeated_passages(docs: DataFrame, crowd_size: int = CROWD) -> DataFrame:
     # bit k: string k of the fragment starts in a smaller document
     whole = F.expr("if(least < rank, shiftleft(1L, n) - 1, 0L)")
     each = F.expr("aggregate(sequence(0, n - 1), 0L, (acc, k) -> acc | if(get(smallest, k) < rank, shiftleft(1L, k), 0L))")
-    hits = seen.select("row", "first", F.when(F.col("smallest").isNull(), whole).otherwise(each).alias("mask")).filter("mask <> 0")
-    hits = hits.groupBy("row").agg(F.collect_set(F.struct("first", "mask")).alias("hits"))
+    # written before the documents are dealt once more, so that fragments and texts are never on disk together
+    found = stage.write(seen.select("row", "first", F.when(F.col("smallest").isNull(), whole).otherwise(each).alias("mask")).filter("mask <> 0"))
+    stage.drop(cut, answers)
+    hits = found.groupBy("row").agg(F.collect_set(F.struct("first", "mask")).alias("hits"))
     return rows.select("doc_id", "row", "body", "copy").join(hits, "row", "left").select("doc_id", "body", "copy", "hits").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import binascii
 import hashlib
+import pathlib
 import random
 import re
 import string
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 
 from citeloom import ship
-from citeloom.llm import exact_dedup, fingerprint, mixing, near_dedup, packing, pii, quality, suffix_dedup, toxicity
+from citeloom.llm import common, exact_dedup, fingerprint, mixing, near_dedup, packing, pii, quality, suffix_dedup, toxicity
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -194,6 +195,16 @@ def test_repeated_passages(spark, odd, empty, docs, crowd):
     assert suffix_dedup.repeated_passages(empty).count() == 0
 
 
+def test_repeated_passages_disk(spark, docs):
+    """Fragments are gone before the documents are dealt for the last time."""
+    folder = pathlib.Path(common.shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("suffix-dedup-*/*"))
+    got = suffix_dedup.repeated_passages(docs)
+    left = [spark.read.parquet(str(p)).columns for p in set(folder.glob("suffix-dedup-*/*")) - before]
+    assert left and not any({"fragment", "minimizer", "minimizers"} & set(columns) for columns in left)
+    assert sorted(collected(got), key=str) == removed(rows_of(docs))
+
+
 # --- 4: mixing ---
 
 
