@@ -6,8 +6,10 @@ So each document is cut into fragments, runs of strings with one minimizer, and
 dealt to tasks by it: what can be equal meets, and each task holds a collection of short texts.
 
 1. Copies of a whole text keep their first document only; the others are removed as they are.
-2. Minimizers that occur in one document only are found and left out. Tasks send each of theirs
-   once, so a minimizer of all documents costs one entry a task.
+2. Fragments without a key that another document has are found and left out. A key is a minimizer
+   with the 15 bytes before or after it, of which every string has one or the other whole. (Short minimizers
+   alone are shared by chance, the more the larger the table.) Tasks send each of theirs once, so a key
+   of all documents costs one entry a task.
 3. Equal fragments become one, with the smallest identifier they occur in: first in each batch,
    so a fragment of all documents travels once a batch, then in the task of their minimizer.
 4. Minimizers with several different fragments get a collection whose texts are the strings of
@@ -39,6 +41,8 @@ from pyspark.sql import functions as F
 from citeloom.llm.common import Staged, partitions, plain_text
 
 LENGTH, K = 50, 20
+#: Places of a minimizer in a string, and the bytes that a key has beside it: half of what a string has beside its minimizer.
+WIDTH, SIDE = LENGTH - K + 1, (LENGTH - K) // 2
 #: Strings of one fragment; longer runs (periodic texts) are cut, which changes no result.
 WINDOWS = 32
 #: Strings of one collection (more where one minimizer has more), and fragments of one minimizer before its strings are compared one by one.
@@ -79,23 +83,42 @@ def minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(now[:n], now[width - size : width - size + n])
 
 
-def fragments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Minimizer, first string and number of strings of each fragment of a document."""
+def fragments(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Minimizer, first string and number of strings of each fragment of a document; its keys, and the first and last string that each stands for."""
     if len(data) < LENGTH:
         none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none
-    m = minima(hashes(np.frombuffer(data, np.uint8), K), LENGTH - K + 1)
+        return none.astype(np.uint64), none, none, none.astype(np.uint64), none, none
+    h = hashes(np.frombuffer(data, np.uint8), K)
+    m = minima(h, WIDTH)
+    keyed = _keys(h, m)
     first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
     count = np.diff(np.append(first, len(m)))
     if count.max() > WINDOWS:
         pieces = -(-count // WINDOWS)
         inner = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         first, count = np.repeat(first, pieces) + inner * WINDOWS, np.minimum(np.repeat(count, pieces) - inner * WINDOWS, WINDOWS)
-    return m[first], first, count
+    return m[first], first, count, *keyed
+
+
+def _keys(h: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of ``K + SIDE`` bytes around the minimizers: every string has one that lies in it whole, at the same place in equal strings."""
+    around = np.concatenate([np.zeros(WIDTH - 1, np.uint64), m, np.zeros(WIDTH - 1, np.uint64)])
+    at = np.flatnonzero(~minima(~around, WIDTH) == h)  # a substring is a minimizer where the largest minimum of the strings around it is its own hash
+    # in order of place, those of one run of strings follow each other, and neighbouring runs have different minimizers
+    turn = np.flatnonzero(np.concatenate([[True], h[at[1:]] != h[at[:-1]]]))
+    run = np.repeat(np.arange(len(turn)), np.diff(np.append(turn, len(at))))
+    begin = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+    low, high = begin[run], np.append(begin[1:], len(m))[run] - 1
+    # a string that has SIDE bytes before the minimizer has the left key whole; any other has SIDE bytes after it
+    left_low, left_high = np.maximum(low, at - WIDTH + 1), np.minimum(high, at - SIDE)
+    right_low, right_high = np.maximum(low, at - SIDE + 1), np.minimum(high, at)
+    left, right = left_low <= left_high, right_low <= right_high
+    keys = np.concatenate([_mix(h[at[left] - SIDE] * _M + h[at[left]]), _mix(h[at[right]] * _M + h[at[right] + SIDE])])
+    return keys, np.concatenate([left_low[left], right_low[right]]), np.concatenate([left_high[left], right_high[right]])
 
 
 PACKED = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("rows", pa.binary()), ("minimizers", pa.binary())])
-#: Minimizers travel as their low five bytes; one taken for another only brings a fragment that is compared in vain.
+#: Keys of minimizers travel as their low five bytes; one taken for another only brings a fragment that is compared in vain.
 LOW = np.uint64((1 << 40) - 1)
 
 
@@ -123,11 +146,11 @@ def _as_batch(found: list[tuple]) -> pa.RecordBatch:
 
 
 def _collect(buckets: int):
-    """Each batch sends a minimizer once: with its row where one row has it (to be settled), without where several do; those rows know already."""
+    """Each batch sends a key once: with its row where one row has it (to be settled), without where several do; those rows know already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, own = batch.column("row").to_numpy(zero_copy_only=False), [np.unique(fragments(t.as_py().encode())[0]) for t in batch.column("body")]
+            keys, own = batch.column("row").to_numpy(zero_copy_only=False), [np.unique(fragments(t.as_py().encode())[3]) for t in batch.column("body")]
             rows, all_m = np.repeat(keys, list(map(len, own))), np.concatenate([np.empty(0, np.uint64), *own])
             order = np.argsort(all_m, kind="stable")
             rows, all_m = rows[order], all_m[order]
@@ -145,7 +168,7 @@ def _collect(buckets: int):
 
 
 def _settle(buckets: int):
-    """Minimizers that several batches sent go back to the rows that have them, dealt by row."""
+    """Keys that several batches sent go back to the rows that have them, dealt by row."""
 
     def settled(held: list[tuple[bytes, bytes]]) -> list[tuple]:
         rows, m = _unpacked(held)
@@ -181,7 +204,7 @@ CUT = pa.schema([("ha", pa.int64()), ("hb", pa.int64()), ("n", pa.int32()), ("mi
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fragments of each document whose minimizers other documents have; a bucket's known minimizers come before its documents."""
+    """Fragments of each document with keys that other documents have; a bucket's known keys come before its documents."""
     at, held, rows, minimizers = None, [], None, None
     for batch in batches:
         out: list[tuple] = []
@@ -199,8 +222,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if lo == hi:
                 continue
             data = body.encode()
-            own, first, count = fragments(data)
-            shared = np.isin(own & LOW, minimizers[lo:hi])
+            own, first, count, keys, low, high = fragments(data)
+            told = np.isin(keys & LOW, minimizers[lo:hi])
+            edge = np.zeros(first[-1] + count[-1] + 1, np.int32)
+            np.add.at(edge, low[told], 1)
+            np.add.at(edge, high[told] + 1, -1)
+            shared = np.logical_or.reduceat(np.cumsum(edge[:-1]) > 0, first)
             own, first, count = own[shared], first[shared], count[shared]
             if not len(own):
                 continue

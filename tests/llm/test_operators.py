@@ -205,6 +205,25 @@ def test_repeated_passages_disk(spark, docs):
     assert sorted(collected(got), key=str) == removed(rows_of(docs))
 
 
+def test_repeated_passages_chance(spark):
+    """Texts that share some 30 bytes and no more cost no fragments; equal strings of 50 bytes have a key in common."""
+    ship(spark)
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdefgh", k=60)) + "thirty bytes that all of us say" + "".join(rng.choices("abcdefgh", k=60)) for _ in range(40)]
+    rows = spark.createDataFrame([(i + 1, i, t) for i, t in enumerate(texts)], "row long, rank long, body string")
+    assert suffix_dedup._fragments(rows, common.Staged(spark, "test")).count() == 0
+    texts += ["a" * 300, "ab " * 90, "".join(rng.choices("ab", k=2000)), texts[0][20:120] + "z" + texts[1][3:60], ("a" * 90 + "b") * 4]
+    keys: dict[bytes, list[set]] = {}
+    for data in map(str.encode, texts):
+        of = [set() for _ in range(len(data) - 49)]
+        for key, low, high in zip(*(x.tolist() for x in suffix_dedup.fragments(data)[3:]), strict=True):
+            for k in range(low, high + 1):
+                of[k].add(key)
+        for k, found in enumerate(of):
+            keys.setdefault(data[k : k + 50], []).append(found)
+    assert all(set.intersection(*found) for found in keys.values())
+
+
 # --- 4: mixing ---
 
 
