@@ -75,9 +75,9 @@ def repair_cp1250(text: Column, least: int = 3, within: int = 2000) -> Column:
 
 
 def law_id(text: Column) -> Column:
-    """'40/64 Sb.' -> '40/1964 Sb.'; two-digit years up to 30 are of this century. Others are squeezed."""
+    """'40/64 Sb.' -> '40/1964 Sb.'; two-digit years up to 30 are of this century, and numbers have any length. Others are squeezed."""
     plain = squeeze(text)
-    number, year = (F.regexp_extract(plain, r"^(\d{1,4})/(\d{2}|\d{4})\s*Sb\.$", i) for i in (1, 2))
+    number, year = (F.regexp_extract(plain, r"^(\d+)/(\d{2}|\d{4})\s*Sb\.$", i) for i in (1, 2))
     century = F.when(year.cast("int") <= 30, "20").otherwise("19")
     full = F.when(F.length(year) == 2, F.concat(century, year)).otherwise(year)
     return F.when(F.length(number) > 0, F.concat(number, F.lit("/"), full, F.lit(" Sb."))).otherwise(plain)

@@ -61,3 +61,9 @@ def test_windows_without_digits(spark, tmp_path):
                 found.append(low)
         expected += [(doc_id, low, low + 200) for low in found]
     assert sorted(got) == sorted(expected) and len(expected) > 5
+
+
+def test_law_numbers_of_any_length(spark, tmp_path):
+    rows = [(1, 1, 9999, 64), (2, 1, 123455, 5), (3, 1, 7, 30)]
+    got = run(spark, tmp_path, "law_id_canonical", lineitem=(rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long"))
+    assert sorted(got) == [(1, 1, "10000/1964 Sb."), (2, 1, "123456/2005 Sb."), (3, 1, "8/2030 Sb.")]
