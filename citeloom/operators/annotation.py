@@ -130,8 +130,8 @@ def cropped_footers(pages: DataFrame, document: str) -> DataFrame:
     near the end of the page. A document's pages are one group, in order.
     """
 
-    def crop(pages_: list[tuple]) -> list[tuple]:
-        last, out = 0, []
+    def crop(pages_: Iterator[tuple]) -> Iterator[tuple]:
+        last = 0
         for page, text in pages_:
             notes = [(m.start(), m.end(), int(m[1])) for m in NOTE.finditer(text)]
             for i, note in enumerate(notes):
@@ -146,8 +146,7 @@ def cropped_footers(pages: DataFrame, document: str) -> DataFrame:
                 if len(text) - chain[-1][1] < FOOTER_GAP:
                     text, last = text[: note[0]].rstrip(), chain[-1][2]
                     break
-            out.append((page, text))
-        return out
+            yield page, text
 
     rows = pages.select(document, F.col("page").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
     return per_document(rows, document, ["page", "text"], [("page", "int"), ("text", "string")], crop)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,22 +60,27 @@ class Kept:
             path.getFileSystem(conf).delete(path, True)
 
 
-def per_document(rows: DataFrame, document: str, columns: list[str], out: list[tuple[str, str]], fold: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
+#: Rows that leave a fold in one Arrow batch.
+ROWS_OUT = 4_000
+
+
+def per_document(rows: DataFrame, document: str, columns: list[str], out: list[tuple[str, str]], fold: Callable[[Iterator[tuple]], Iterable[tuple]]) -> DataFrame:
     """(document, out columns): ``fold`` of each document's rows, which come as tuples of ``columns`` in their order.
 
-    A document's rows are one list, as they are bounded by its length; many documents share an
-    Arrow batch, so small ones cost no round trip each. ``out`` has names and Spark types.
+    Rows are sorted in the JVM and run through ``fold`` one by one, so a Python worker holds an
+    Arrow batch and what the fold keeps, however long or many the documents are. ``out`` has names and Spark types.
     """
-    held = rows.groupBy(document).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rows"))
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    held = rows.select(document, *columns).repartition(document).sortWithinPartitions(document, *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, made = [], []
-            for k, own in enumerate(batch.column("rows").to_pylist()):
-                new = fold([tuple(r.values()) for r in own])
-                at += [k] * len(new)
-                made += new
-            yield pa.RecordBatch.from_arrays([batch.column(document).take(pa.array(at, pa.int64())), *(pa.array([m[i] for m in made], kinds[t]) for i, (_, t) in enumerate(out))], names=[document, *(n for n, _ in out)])
+        first = next(batches, None)
+        if first is None:
+            return
+        fields = [(document, first.schema.field(0).type), *((n, kinds[t]) for n, t in out)]
+        every = (row for batch in chain([first], batches) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        made = ((key, *new) for key, own in groupby(every, itemgetter(0)) for new in fold(row[1:] for row in own))
+        while some := list(islice(made, ROWS_OUT)):
+            yield pa.RecordBatch.from_arrays([pa.array(values, kind) for values, (_, kind) in zip(zip(*some, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
     return held.mapInArrow(run, ", ".join([f"`{document}` {dict(rows.dtypes)[document]}", *(f"`{n}` {t}" for n, t in out)]))
