@@ -23,25 +23,65 @@ SPARK = {pa.int32(): "int", pa.string(): "string", pa.float64(): "double", pa.bo
 Entries = Iterable[tuple[str, Iterable[str], str | None]]
 
 
+#: Texts of so many characters at most are remembered with their rows, and a task remembers so many bytes (estimated).
+SHORT, REMEMBERED = 4_096, 256 << 20
+#: Bytes that a remembered row takes about, and rows that leave a worker in one Arrow batch.
+ROW_BYTES, ROWS_OUT = 250, 10_000
+#: Bytes of a batch that become Python objects at once.
+AT_ONCE = 4 << 20
+
+
 def _rows(fields, keys: tuple[str, ...], start):
     """mapInArrow function: key columns, then the fields of every row that ``start()(columns)`` gives for a document.
 
-    ``start`` is called once a task, so what all its documents share is made once.
+    ``start`` is called once a task, so what all its documents share is made once. Short texts that
+    come again in a task are not mined again. Rows of long documents leave as they are found.
     """
+    wanted = [n for n, _ in fields if n != "seq"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = start()
-        for batch in batches:
-            at, found, numbers = [], [], []
-            names = [n for n in batch.schema.names if n not in keys]
-            for k, values in enumerate(zip(*(batch.column(n).to_pylist() for n in names), strict=True)):
-                rows = mine(dict(zip(names, values, strict=True)))
-                at += [k] * len(rows)
-                numbers += range(len(rows))
-                found += rows
-            arrays = [batch.column(k).take(pa.array(at, pa.int64())) for k in keys]
-            made = [pa.array(numbers if n == "seq" else [r[n] for r in found], kind) for n, kind in fields]
-            yield pa.RecordBatch.from_arrays([*arrays, *made], names=[*keys, *(n for n, _ in fields)])
+        mine, known, room = start(), {}, REMEMBERED
+        for whole in batches:
+            step = max(1, len(whole) * AT_ONCE // max(1, whole.nbytes))
+            for low in range(0, len(whole), step):
+                batch = whole.slice(low, step)
+                names = [n for n in batch.schema.names if n not in keys]
+                held = [batch.column(k) for k in keys]
+                at, found, numbers = [], [], []
+
+                def flushed() -> pa.RecordBatch:
+                    columns = dict(zip(wanted, zip(*found, strict=True) if found else [()] * len(wanted), strict=True)) | {"seq": numbers}
+                    out = pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in held), *(pa.array(columns[n], kind) for n, kind in fields)], names=[*keys, *(n for n, _ in fields)])
+                    at.clear(), found.clear(), numbers.clear()
+                    return out
+
+                for k, values in enumerate(zip(*(batch.column(n).to_pylist() for n in names), strict=True)):
+                    same = values if len(values) == 1 else tuple(tuple(v) if isinstance(v, list) else v for v in values)
+                    rows = known.get(same)
+                    if rows is None:
+                        made = (tuple([r[n] for n in wanted]) for r in mine(dict(zip(names, values, strict=True))))
+                        size = sum(len(v) for v in values if isinstance(v, str))
+                        if size > SHORT:
+                            for i, row in enumerate(made):
+                                at.append(k)
+                                numbers.append(i)
+                                found.append(row)
+                                if len(at) >= ROWS_OUT:
+                                    yield flushed()
+                            continue
+                        rows = tuple(made)
+                        room -= 2 * size + ROW_BYTES * (len(rows) + 1)
+                        if room < 0:
+                            known.clear()
+                            room = REMEMBERED
+                        known[same] = rows
+                    at += [k] * len(rows)
+                    numbers += range(len(rows))
+                    found += rows
+                    if len(at) >= ROWS_OUT:
+                        yield flushed()
+                if at:
+                    yield flushed()
 
     return run
 
@@ -65,28 +105,28 @@ def law_occurrences(docs: DataFrame, keys: tuple[str, ...], aliases: Entries = (
     def start():
         everyone, nobody = law.Dictionary(general), law.Dictionary(())
 
-        def mine(doc: dict) -> list[dict]:
+        def mine(doc: dict) -> Iterable[dict]:
             declared = doc.get("declared")
             local = law.Dictionary((a, (x,), None) for a, x in declared) if declared else nobody
-            return law.occurrences(doc["text"] or "", local, everyone, doc.get("date"), dates, listed)
+            return law.found(doc["text"] or "", local, everyone, doc.get("date"), dates, listed)
 
         return mine
 
     read = [c for c in (*keys, "text", "date", "declared") if c in docs.columns]
-    return spread(docs.select(*read)).mapInArrow(_rows(wanted, keys, start), _schema(docs, keys, wanted))
+    return spread(docs.select(*read), "text").mapInArrow(_rows(wanted, keys, start), _schema(docs, keys, wanted))
 
 
 def document_references(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """One row per reference to another decision in ``text``."""
     start = lambda: lambda d: docref.references(d["text"] or "")
-    return spread(docs.select(*keys, "text")).mapInArrow(_rows(REF_FIELDS, keys, start), _schema(docs, keys, REF_FIELDS))
+    return spread(docs.select(*keys, "text"), "text").mapInArrow(_rows(REF_FIELDS, keys, start), _schema(docs, keys, REF_FIELDS))
 
 
 def declared_aliases(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(keys, seq, alias, law_id): what documents declare as short names."""
     fields = [("seq", pa.int32()), ("alias", pa.string()), ("law_id", pa.string())]
     start = lambda: lambda d: [dict(alias=a, law_id=x) for a, x in law.declared_aliases(d["text"] or "").items()]
-    return spread(docs.select(*keys, "text")).mapInArrow(_rows(fields, keys, start), _schema(docs, keys, fields))
+    return spread(docs.select(*keys, "text"), "text").mapInArrow(_rows(fields, keys, start), _schema(docs, keys, fields))
 
 
 def law_anchors(docs: DataFrame, *keys: str) -> DataFrame:

@@ -16,15 +16,22 @@ from pyspark.sql import functions as F
 SMALL = 128 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
+#: Bytes of a task of costly work over a small input, and the fewest and most tasks of a core.
+A_TASK, TASKS = 4 << 20, (4, 16)
+
+
+def spread(df: DataFrame, by: str | None = None) -> DataFrame:
     """Rows dealt over all cores where the input is small.
 
     A file of one row group is read by one task, however many rows it has. The plan's own size
-    estimate decides, so nothing is listed or counted, and a large input is not shuffled.
+    estimate decides, so nothing is listed or counted, and a large input is not shuffled. With
+    ``by``, rows of one value of it go to one task, which can do for all of them what it does for one.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SMALL else df
+    if size >= cores * SMALL:
+        return df
+    return df.repartition(cores) if by is None else df.repartition(cores * min(TASKS[1], max(TASKS[0], size // (cores * A_TASK))), by)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -173,8 +173,8 @@ SELECT v.variant, (SELECT count(*) FROM orders WHERE o_orderkey % 2 = 0 AND v.a
 """)
 def resolver_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("podle § "), (F.col("o_custkey") % 300 + 1).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, " ZOHS").otherwise(" tr. ř."))
-    docs = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"))
+    docs = table(spark, sf_dir, "orders").groupBy(text.alias("text")).agg(F.count(F.lit(1)).alias("times"))
     layers = {"global": [("ZOHS", ["143/2001 Sb."], None)], "seed": [("tr. ř.", ["141/1961 Sb."], None)]}
-    runs = N.ablations(lambda aliases: C.law_occurrences(docs, ("o_orderkey",), aliases, fields=("law_id",)), layers)
-    parts = [df.agg(F.count("law_id").alias("resolved")).select(F.lit(name).alias("variant"), "resolved") for name, df in runs.items()]
+    runs = N.ablations(lambda aliases: C.law_occurrences(docs, ("times",), aliases, fields=("law_id",)), layers)
+    parts = [df.agg(F.coalesce(F.sum(F.when(F.col("law_id").isNotNull(), F.col("times"))), F.lit(0)).alias("resolved")).select(F.lit(name).alias("variant"), "resolved") for name, df in runs.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -46,8 +46,9 @@ def law_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT law_id, number, count(*) AS citations FROM (SELECT {_LAW_SQL} AS law_id, l_linenumber::VARCHAR AS number FROM lineitem) GROUP BY ALL ORDER BY citations DESC, law_id, number LIMIT 25
 """)
 def top_provisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = C.law_occurrences(_sentences(spark, sf_dir), ("l_orderkey",), fields=("citation_type", "law_id", "number")).filter("citation_type = 'section'")
-    return found.groupBy("law_id", "number").agg(F.count(F.lit(1)).alias("citations")).orderBy(F.desc("citations"), "law_id", "number").limit(25)
+    texts = _sentences(spark, sf_dir).groupBy("text").agg(F.count(F.lit(1)).alias("times"))
+    found = C.law_occurrences(texts, ("times",), fields=("citation_type", "law_id", "number")).filter("citation_type = 'section'")
+    return found.groupBy("law_id", "number").agg(F.sum("times").alias("citations")).orderBy(F.desc("citations"), "law_id", "number").limit(25)
 
 
 @query("""
