@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeloom.operators.work import Kept
+from citeloom.operators.work import Kept, dealt
 
 #: Edges that one task can label by itself (16 bytes each).
 ONE_TASK = 2_000_000
@@ -28,18 +28,24 @@ def degrees(edges: DataFrame) -> DataFrame:
     return into.join(out, "node", "full_outer").na.fill(0).select("node", "in_degree", "out_degree", "in_occurrences", "out_occurrences")
 
 
-def matrix(edges: DataFrame, nodes: DataFrame, group: str) -> DataFrame:
-    """Occurrences between the groups of both ends: (src_group, tgt_group, count)."""
+def matrix(edges: DataFrame, nodes: DataFrame, group: str, tasks: int | None = None) -> DataFrame:
+    """Occurrences between the groups of both ends: (src_group, tgt_group, count).
+
+    ``tasks``: into how many tasks the joins are dealt (the session's number where it is not given).
+    Edges of one source group meet their target once for each target, with their number.
+    """
     a = nodes.select(F.col("node").alias("src"), F.col(group).alias("src_group"))
     b = nodes.select(F.col("node").alias("tgt"), F.col(group).alias("tgt_group"))
-    return edges.join(a, "src").join(b, "tgt").groupBy("src_group", "tgt_group").agg(F.count(F.lit(1)).alias("count"))
+    into = dealt(edges, "src", tasks).join(dealt(a, "src", tasks), "src").groupBy("tgt", "src_group").agg(F.count(F.lit(1)).alias("n"))
+    return dealt(into, "tgt", tasks).join(dealt(b, "tgt", tasks), "tgt").groupBy("src_group", "tgt_group").agg(F.sum("n").alias("count"))
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20, tolerance: float | None = 1e-8) -> DataFrame:
+def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20, tolerance: float | None = 1e-8, tasks: int | None = None) -> DataFrame:
     """(node, rank): weighted PageRank; self-loops do not count, ranks of sinks are dealt evenly, ranks add up to 1.
 
     Stops after ``rounds`` or when the ranks move less than ``tolerance`` in sum. Only sums
-    reach the driver; each round is kept in the checkpoint folder.
+    reach the driver; each round is kept in the checkpoint folder. ``tasks``: into how many tasks
+    the joins are dealt (the session's number where it is not given).
     """
     kept = Kept(edges.sparkSession)
     nodes = kept.write(edges.select(F.col("src").alias("node")).union(edges.select("tgt")).distinct())
@@ -47,7 +53,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20, tolerance:
     if n == 0:
         return nodes.withColumn("rank", F.lit(0.0))
     files = max(1, n // ROWS_A_FILE)
-    pairs = collapsed(edges.filter("src <> tgt"))
+    pairs = collapsed(dealt(edges.filter("src <> tgt"), "src", tasks))
     shares = kept.write(pairs.join(pairs.groupBy("src").agg(F.sum("weight").alias("total")), "src").select("src", "tgt", (F.col("weight") / F.col("total")).alias("share")))
     sources = shares.select(F.col("src").alias("node")).distinct().withColumn("flows", F.lit(True))
     ranks = kept.write(nodes.join(sources, "node", "left").select("node", F.lit(1.0 / n).alias("rank"), F.coalesce("flows", F.lit(False)).alias("flows")), files)
@@ -55,7 +61,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20, tolerance:
     state = ranks.agg(*[c.alias(k) for k, c in total.items()]).first()
     total["moved"] = F.sum(F.abs(F.col("rank") - F.col("old")))
     for _ in range(rounds):
-        flow = shares.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("tgt").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        flow = dealt(shares, "src", tasks).join(dealt(ranks.select(F.col("node").alias("src"), "rank"), "src", tasks), "src").groupBy(F.col("tgt").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         new = ranks.join(flow, "node", "left").select("node", F.col("rank").alias("old"), (F.lit((1 - alpha) / n + alpha * state["lost"] / n) + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"), "flows")
         old, ranks = ranks, kept.write(new, files)
         state = ranks.agg(*[c.alias(k) for k, c in total.items()]).first()
@@ -66,7 +72,7 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 20, tolerance:
 
 
 #: Rows of a file of a small table in a loop.
-ROWS_A_FILE = 1_000_000
+ROWS_A_FILE = 50_000
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

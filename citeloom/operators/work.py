@@ -34,6 +34,21 @@ def spread(df: DataFrame, by: str | None = None) -> DataFrame:
     return df.repartition(cores) if by is None else df.repartition(cores * min(TASKS[1], max(TASKS[0], size // (cores * A_TASK))), by)
 
 
+#: Rows of a shuffled task in joins of large tables.
+ROWS_A_TASK = 1_000_000
+
+
+def tasks_of(df: DataFrame) -> int | None:
+    """Tasks for a shuffle of a table's rows, where the session's number would make a task grow beyond ``ROWS_A_TASK``; else None."""
+    need = -(-df.count() // ROWS_A_TASK)
+    return need if need > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(df: DataFrame, key: str, tasks: int | None) -> DataFrame:
+    """Rows by key in so many tasks; as they are where no number is given."""
+    return df if tasks is None else df.repartition(tasks, key)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a local session without one gets a temporary folder, a cluster must name its shared one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from citeloom.catalog import query, table
 from citeloom.operators import evaluation as E
 from citeloom.operators import graph as G
+from citeloom.operators.work import dealt, tasks_of
 
 
 @query("SELECT lang, source, count(*) AS documents, count(DISTINCT text) AS texts FROM documents GROUP BY ALL")
@@ -36,12 +37,19 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers cite suppliers through their orders' lines; a supplier is the customer of its number, so documents cite and are cited."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    tasks = tasks_of(lines)
+    orders, lines = dealt(orders, "o_orderkey", tasks), dealt(lines, "l_orderkey", tasks)
     return orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"]).select(F.col("o_custkey").alias("src"), F.col("l_suppkey").alias("tgt"))
 
 
 _EDGES = "SELECT o_custkey AS src, l_suppkey AS tgt FROM orders JOIN lineitem ON o_orderkey = l_orderkey"
 
 
+def _tasks(spark: SparkSession, sf_dir: str) -> int | None:
+    """Tasks that joins of the edges are dealt into."""
+    return tasks_of(table(spark, sf_dir, "lineitem"))
+
+
 @query(f"SELECT src, tgt, count(*) AS weight FROM ({_EDGES}) GROUP BY ALL")
 def collapsed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.collapsed(_edges(spark, sf_dir))
@@ -68,7 +76,7 @@ def top_cited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _edges(spark, sf_dir)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("tgt")).distinct().withColumn("court", (F.col("node") % 4).cast("string"))
-    counts = G.matrix(edges, nodes, "court").groupBy("src_group").pivot("tgt_group", ["0", "1", "2", "3"]).sum("count").na.fill(0)
+    counts = G.matrix(edges, nodes, "court", _tasks(spark, sf_dir)).groupBy("src_group").pivot("tgt_group", ["0", "1", "2", "3"]).sum("count").na.fill(0)
     return counts.select("src_group", *[F.col(str(i)).alias(f"g{i}") for i in range(4)])
 
 
@@ -80,7 +88,7 @@ def matrix_per_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _edges(spark, sf_dir)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("tgt")).distinct().withColumn("court", F.col("node") % 4)
     sizes = nodes.groupBy(F.col("court").alias("src_group")).agg(F.count(F.lit(1)).alias("documents"))
-    return G.matrix(edges, nodes, "court").join(sizes, "src_group").select("src_group", "tgt_group", F.round(F.col("count") / F.col("documents") * 1000, 6).alias("per_1000"))
+    return G.matrix(edges, nodes, "court", _tasks(spark, sf_dir)).join(sizes, "src_group").select("src_group", "tgt_group", F.round(F.col("count") / F.col("documents") * 1000, 6).alias("per_1000"))
 
 
 def _pagerank_sql(rounds: int) -> str:
@@ -99,7 +107,7 @@ n AS MATERIALIZED (SELECT src AS node FROM ({_EDGES}) UNION SELECT tgt FROM ({_E
 
 @query(_pagerank_sql(5))
 def pagerank5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.pagerank(_edges(spark, sf_dir), rounds=5, tolerance=None).select("node", F.round("rank", 8).alias("rank"))
+    return G.pagerank(_edges(spark, sf_dir), rounds=5, tolerance=None, tasks=_tasks(spark, sf_dir)).select("node", F.round("rank", 8).alias("rank"))
 
 
 @query("""

@@ -107,3 +107,17 @@ def test_no_operator_needs_the_corpus_subpackage():
     assert users == []
 
 
+
+
+def test_tasks_of_a_join_grow_with_its_input(spark, monkeypatch):
+    """Rows of a task stay bounded: the number of tasks follows the rows, and results do not depend on it."""
+    from citeloom.operators import work
+
+    edges = spark.range(500).selectExpr("id % 37 as src", "id * 7 % 41 as tgt")
+    nodes = spark.range(41).selectExpr("id as node", "id % 3 as court")
+    assert work.tasks_of(edges) is None
+    monkeypatch.setattr(work, "ROWS_A_TASK", 50)
+    assert work.tasks_of(edges) == 10 and work.dealt(edges, "src", 10).rdd.getNumPartitions() == 10
+    assert sorted(G.matrix(edges, nodes, "court", 10).collect()) == sorted(G.matrix(edges, nodes, "court").collect())
+    plain, dealt = ({r["node"]: r["rank"] for r in G.pagerank(edges, rounds=3, tasks=t).collect()} for t in (None, 10))
+    assert plain.keys() == dealt.keys() and all(abs(plain[k] - dealt[k]) < 1e-12 for k in plain)
